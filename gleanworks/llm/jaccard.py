@@ -290,7 +290,8 @@ def links(sets: DataFrame, prefix: DataFrame, percent: int = PERCENT, block: int
     exploded = large.select("g", "doc_id", "n", F.explode("tokens").alias("h"))
     centre = exploded.join(wide, ["g", "h"]).groupBy("g", "doc_id", "n").agg(F.count(F.lit(1)).alias("w"))
     leaders = centre.groupBy("g").agg(F.max_by("doc_id", F.struct(F.col("w") / F.col("n"), -F.col("doc_id"))).alias("leader"))
-    core = exploded.join(leaders, (exploded["g"] == leaders["g"]) & (exploded["doc_id"] == leaders["leader"])).select(exploded["g"], F.col("leader"), F.col("n").alias("n0"), "h")
+    named = leaders.withColumn("doc_id", F.col("leader"))
+    core = exploded.join(named, ["g", "doc_id"]).select("g", "leader", F.col("n").alias("n0"), "h")
     near = exploded.join(core, ["g", "h"]).groupBy("g", "doc_id", "n", "leader", "n0").agg(F.count(F.lit(1)).alias("c")).where(f"doc_id <> leader AND 100 * c >= {percent} * (n + n0 - c)")
     joined = near.select("doc_id", "leader").checkpoint()
     rest = large.join(joined, "doc_id", "left_anti").join(leaders.select(F.col("leader").alias("doc_id")), "doc_id", "left_anti")
