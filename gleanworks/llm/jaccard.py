@@ -114,7 +114,7 @@ def _quarters(docs: DataFrame, ngram: int, percent: int, ranges: int) -> DataFra
                 rank = np.arange(len(t)) - np.repeat(begin, np.diff(np.append(begin, len(t))))
                 given = o[rank >= 2]
                 t, o = t[rank < 2], o[rank < 2]
-                at = ((t >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
+                at = _ranges(t >> np.uint64(16), ranges)
                 cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
                 ends = np.append(cuts[1:], len(at))
                 low = t & _LOW48
@@ -138,10 +138,18 @@ def _unpack48(blobs: list[bytes]) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The range, of equal widths, that each 48-bit key lies in."""
+    return ((keys >> np.uint64(24)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
+
+
 def _credits(quarters: DataFrame, n_parts: int) -> DataFrame:
-    """``(s48, credit)``: how many of a set's counted shingles another set holds."""
+    """``(s48, credit)``: how many of a set's counted shingles another set holds.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each range of hashes sends its counts on in one packed row per range of sets.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[tuple[bytes, bytes]] = []
         plain: list[bytes] = []
         for batch in batches:
@@ -164,10 +172,29 @@ def _credits(quarters: DataFrame, n_parts: int) -> DataFrame:
             credited.append(_unpack48(plain))
         if credited:
             s, c = np.unique(np.concatenate(credited), return_counts=True)
+            if len(s):
+                at = _ranges(s, n_parts)
+                cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                ends = np.append(cuts[1:], len(s))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at[cuts], pa.int32()), pa.array([_pack48(s[a:z]) for a, z in zip(cuts, ends, strict=True)], pa.binary()), pa.array([c[a:z].astype("<u4").tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary())],
+                    names=["range", "sets", "counts"],
+                )
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: list[bytes] = []
+        counts: list[bytes] = []
+        for batch in batches:
+            sets += batch.column(1).to_pylist()
+            counts += batch.column(2).to_pylist()
+        if sets:
+            s, inverse = np.unique(_unpack48(sets), return_inverse=True)
+            c = np.bincount(inverse, weights=np.frombuffer(b"".join(counts), "<u4"))
             yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), pa.array(c.astype(np.int64))], names=["s48", "credit"])
 
     dealt = quarters.repartition(n_parts, "range").select("range", "tokens", "sets")
-    return dealt.mapInArrow(run, "s48 long, credit long").groupBy("s48").agg(F.sum("credit").alias("credit"))
+    packed = dealt.mapInArrow(count, "range int, sets binary, counts binary")
+    return packed.repartition(n_parts, "range").mapInArrow(total, "s48 long, credit long")
 
 
 def _sets(docs: DataFrame, ngram: int) -> DataFrame:
