@@ -1,0 +1,264 @@
+"""Sequential text work: sentences, spans, windows around positives, clinical tokens and claims.
+
+Rules that depend on what was decided before run as plain functions inside Arrow
+UDFs; neighbour tests and overlaps are expressions.
+"""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Abbreviations that do not end a sentence.
+ABBREVIATIONS = {"dr", "mr", "mrs", "ms", "prof", "sr", "jr", "st", "vs", "etc", "e.g", "i.e", "fig", "al", "inc", "ltd", "co", "no", "approx", "dept", "est", "u.s"}
+_END = re.compile(r"[.!?]+[\"')\]]*(?=\s|$)")
+
+
+def split_sentences(text: str | None) -> list[str]:
+    """Sentences of a text: ends at . ! ? before white space, not after abbreviations or initials.
+
+    Pieces without a letter or digit join the sentence before them.
+    """
+    if not text or not text.strip():
+        return []
+    cuts, at = [], 0
+    for m in _END.finditer(text):
+        before = text[at : m.start()].split()
+        word = before[-1].lower().lstrip("(\"'[") if before else ""
+        following = text[m.end() :].lstrip()
+        if m.group().startswith(".") and (word in ABBREVIATIONS or re.fullmatch(r"[a-z]", word)) and following:
+            continue
+        if m.group() == "." and following[:1].islower():
+            continue
+        cuts.append(text[at : m.end()])
+        at = m.end()
+    cuts.append(text[at:])
+    out: list[str] = []
+    for piece in (c.strip() for c in cuts):
+        if not piece:
+            continue
+        if out and not re.search(r"\w", piece):
+            out[-1] += piece
+        else:
+            out.append(piece)
+    return out
+
+
+def sentence_spans(text: str | None) -> list[tuple[str, int, int]]:
+    """Sentences with half-open offsets, found one after another; an estimate where a merge changed the text."""
+    out, at = [], 0
+    for s in split_sentences(text):
+        found = text.find(s, at)
+        start = found if found >= 0 else at
+        out.append((s, start, start + len(s)))
+        at = start + len(s)
+    return out
+
+
+def answer_sentences(text: str | None) -> list[tuple[str, int, int]]:
+    """Sentences of ``answer_N:`` blocks (each ends at the line's end) with offsets in the whole text."""
+    return [(s, m.start(1) + a, m.start(1) + z) for m in re.finditer(r"answer_\d+:[ \t]*([^\n]*)", text or "") for s, a, z in sentence_spans(m.group(1))]
+
+
+SPANS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def sentences_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(split_sentences)
+
+
+def _spans_udf(f):
+    @F.pandas_udf(SPANS)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"text": s, "start": a, "end": z} for s, a, z in f(t)])
+
+    return run
+
+
+spans_udf = _spans_udf(sentence_spans)
+answers_udf = _spans_udf(answer_sentences)
+
+
+def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """Half-open intervals that share a position; touching ones do not."""
+    return (a_start < b_end) & (b_start < a_end)
+
+
+def overlap_labels(spans: Column, evidence: Column) -> Column:
+    """1 for every span that overlaps any evidence ``struct<start, end>``; no join needed."""
+    return F.transform(spans, lambda s: F.exists(evidence, lambda e: overlaps(s["start"], s["end"], e["start"], e["end"])).cast("int"))
+
+
+def clip_to(spans: Column, start: Column, end: Column) -> Column:
+    """Spans cut to [start, end) and re-based to its start; empty ones are dropped."""
+    inside = F.filter(spans, lambda s: overlaps(s["start"], s["end"], start, end))
+    return F.transform(inside, lambda s: F.struct((F.greatest(s["start"], start) - start).alias("start"), (F.least(s["end"], end) - start).alias("end"), s["type"].alias("type")))
+
+
+def base_id(c: Column) -> Column:
+    return F.regexp_replace(c, r"_sent_(\d+)$", "")
+
+
+def sentence_index(c: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract(c, r"_sent_(\d+)$", 1), F.lit("")).try_cast("int"), F.lit(-1))
+
+
+def windowed(units: list[str], labels: list[int], window: int = 2, min_negatives: int = 3, remote_ratio: float = 0.5, seed: int | None = None) -> tuple[list[str], list[int]] | None:
+    """One document down-sampled around its positives; None without positives.
+
+    Draws, in this order: left and right reach of each positive, negatives up to the
+    floor, then remote negatives in proportion to positives.
+    """
+    rng, positives = random.Random(seed), [i for i, y in enumerate(labels) if y == 1]
+    if not positives:
+        return None
+    chosen = set()
+    for p in positives:
+        left, right = rng.randint(0, window), rng.randint(0, window)
+        chosen.update(range(max(0, p - left), min(len(units), p + right + 1)))
+    short = min_negatives - sum(labels[i] != 1 for i in chosen)
+    rest = [i for i in range(len(units)) if i not in chosen and labels[i] != 1]
+    if short > 0 and rest:
+        chosen.update(rng.sample(rest, min(short, len(rest))))
+    rest = [i for i in range(len(units)) if i not in chosen and labels[i] != 1]
+    far = min(len(rest), math.ceil(remote_ratio * len(positives)))
+    if far:
+        chosen.update(rng.sample(rest, far))
+    order = sorted(chosen)
+    return [units[i] for i in order], [labels[i] for i in order]
+
+
+def windowed_udf(window: int = 2, min_negatives: int = 3, remote_ratio: float = 0.5):
+    """(units, labels, seed) -> struct of the sampled units and labels, null without positives."""
+
+    @F.pandas_udf(T.StructType([T.StructField("units", T.ArrayType(T.StringType())), T.StructField("labels", T.ArrayType(T.IntegerType()))]))
+    def run(units: pd.Series, labels: pd.Series, seed: pd.Series) -> pd.DataFrame:
+        rows = [windowed(list(u), [int(y) for y in l], window, min_negatives, remote_ratio, int(s)) or (None, None) for u, l, s in zip(units, labels, seed, strict=True)]
+        return pd.DataFrame(rows, columns=["units", "labels"])
+
+    return run
+
+
+# Section headers, delimiters and conjunctions of clinical notes.
+HEADERS = {"history", "assessment", "plan", "impression", "medications", "allergies", "exam", "labs", "vitals", "social", "family"}
+HARD = (";", "—", "--", "|")
+SOFT = (",",)
+CONJUNCTIONS = ("and", "but", "or", "while", "with", "which", "because")
+
+
+def is_header(token: str, headers: set[str] = HEADERS) -> bool:
+    """``X:`` where X is a known header or capital letters (two at least)."""
+    body = token[:-1] if token.endswith(":") else ""
+    return bool(body) and (body.lower() in headers or (body.isalpha() and body.isupper() and len(body) >= 2))
+
+
+def is_structural_colon(tokens: list[str], i: int) -> bool:
+    """A colon after a word of letters, but not between digits."""
+    if tokens[i] != ":" or i == 0:
+        return False
+    before, after = tokens[i - 1], tokens[i + 1] if i + 1 < len(tokens) else ""
+    if before[-1:].isdigit() and after[:1].isdigit():
+        return False
+    return before.isalpha() and len(before) >= 2
+
+
+def hard_ends(tokens: list[str]) -> list[int]:
+    """Ends (exclusive) of segments at delimiters, headers and structural colons."""
+    ends = {i + 1 for i, t in enumerate(tokens) if t in HARD or is_structural_colon(tokens, i)}
+    ends |= {i for i, t in enumerate(tokens) if i and is_header(t)} | {i + 1 for i, t in enumerate(tokens) if is_header(t)}
+    return sorted(ends | {len(tokens)}) if tokens else []
+
+
+def limit_length(tokens: list[str], ranges: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """Cut ranges longer than ``most``: at a comma before a conjunction, a conjunction, a comma, or the limit."""
+    out = []
+    for a, z in ranges:
+        while z - a > most:
+            span = range(a + 1, min(a + most, z - 1) + 1)
+            tests = (lambda i: tokens[i - 1] in SOFT and tokens[i].lower() in CONJUNCTIONS, lambda i: tokens[i].lower() in CONJUNCTIONS, lambda i: tokens[i - 1] in SOFT)
+            cut = next((i for test in tests for i in reversed(span) if test(i)), a + most)
+            out.append((a, cut))
+            a = cut
+        out.append((a, z))
+    return out
+
+
+def merge_tiny(ranges: list[tuple[int, int]], labels: list[int], least: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Join negative ranges under ``least`` tokens to their right neighbour, or the left one at the end."""
+    ranges, labels, i = list(ranges), list(labels), 0
+    while i < len(ranges):
+        a, z = ranges[i]
+        if labels[i] == 0 and z - a < least and len(ranges) > 1:
+            j = i if i + 1 < len(ranges) else i - 1
+            ranges[j : j + 2] = [(ranges[j][0], ranges[j + 1][1])]
+            labels[j : j + 2] = [max(labels[j : j + 2])]
+            i = j
+        else:
+            i += 1
+    return ranges, labels
+
+
+def claims(tokens: list[str], tags: list[str], most: int = 48, least: int = 3) -> list[tuple[int, int, int]]:
+    """(start, end, label) of a sentence's claims; the label says whether any tag is not ``O``."""
+    ends = hard_ends(tokens)
+    ranges = limit_length(tokens, [(a, z) for a, z in zip([0, *ends], ends, strict=False) if z > a], most)
+    labels = [int(any(t != "O" for t in tags[a:z])) for a, z in ranges]
+    ranges, labels = merge_tiny(ranges, labels, least)
+    return [(a, z, y) for (a, z), y in zip(ranges, labels, strict=True)]
+
+
+def claims_udf(most: int = 48, least: int = 3):
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "end", "label")])))
+    def run(tokens: pd.Series, tags: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "end": z, "label": y} for a, z, y in claims(list(t), list(g), most, least)] for t, g in zip(tokens, tags, strict=True)])
+
+    return run
+
+
+def iob_tags(text: str, spans: list[tuple[int, int, str]]) -> tuple[list[str], list[str]]:
+    """Tokens of a sentence and their B-/I- tags; a later span overwrites an earlier one."""
+    found = [(m.group(), m.start(), m.end()) for m in re.finditer(r"\w+|[^\w\s]", text)]
+    tags = ["O"] * len(found)
+    for a, z, kind in spans:
+        first = True
+        for i, (_, s, e) in enumerate(found):
+            if s < z and a < e:
+                tags[i] = f"{'B' if first else 'I'}-{kind}"
+                first = False
+    return [t for t, _, _ in found], tags
+
+
+def correct_tags(tokens: list[str], tags: list[str], groups: list[list[tuple[str, str]]]) -> list[str]:
+    """Overwrite the tags of the first occurrence of each corrected token sequence."""
+    tags = list(tags)
+    for group in groups:
+        words = [w for w, _ in group]
+        for i in range(len(tokens) - len(words) + 1):
+            if tokens[i : i + len(words)] == words:
+                tags[i : i + len(words)] = [t for _, t in group]
+                break
+    return tags
+
+
+def split_long(sentence: str, most: int = 150, fill: float = 0.7) -> list[str]:
+    """A sentence of more than ``most`` words, cut at the first kind of break that occurs and re-packed."""
+    if len(sentence.split()) <= most:
+        return [sentence]
+    for pattern in (r"\n\s*\n", r"\n", r";\s", r":\s", r"\s-\s", r",\s(?=(?:and|but|or)\b)", r",\s", r"\s"):
+        pieces = [p for p in re.split(f"(?<={pattern[0:2]})" if pattern == r"\n" else f"({pattern})", sentence) if p]
+        if len(pieces) > 1:
+            out, held = [], ""
+            for p in pieces:
+                if held and len((held + p).split()) > most and len(held.split()) >= fill * most * 0.5:
+                    out.append(held.strip())
+                    held = ""
+                held += p
+            return [x for x in [*out, held.strip()] if x]
+    return [sentence]

@@ -27,9 +27,9 @@ def ap_of_arrays(scores: Column, labels: Column) -> Column:
     levels = F.sort_array(F.array_distinct(scores), asc=False)
 
     def step(level: Column) -> Column:
-        at = F.size(F.filter(pairs, lambda u: (u["0"] == level) & (u["1"] == 1)))
-        hits = F.size(F.filter(pairs, lambda u: (u["0"] >= level) & (u["1"] == 1)))
-        seen = F.size(F.filter(pairs, lambda u: u["0"] >= level))
+        at = F.size(F.filter(pairs, lambda u: (u["s"] == level) & (u["y"] == 1)))
+        hits = F.size(F.filter(pairs, lambda u: (u["s"] >= level) & (u["y"] == 1)))
+        seen = F.size(F.filter(pairs, lambda u: u["s"] >= level))
         return at.cast("double") * hits / seen
 
     positives = F.size(F.filter(labels, lambda y: y == 1))
