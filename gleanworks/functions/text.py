@@ -32,7 +32,7 @@ def split_sentences(text: str | None) -> list[str]:
         before = text[at : m.start()].split()
         word = before[-1].lower().lstrip("(\"'[") if before else ""
         following = text[m.end() :].lstrip()
-        if m.group().startswith(".") and (word in ABBREVIATIONS or re.fullmatch(r"[a-z]", word)) and following:
+        if m.group().startswith(".") and (word in ABBREVIATIONS or re.fullmatch("[A-Z]", before[-1] if before else "")) and following:
             continue
         if m.group() == "." and following[:1].islower():
             continue
