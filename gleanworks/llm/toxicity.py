@@ -34,6 +34,7 @@ BUCKETS = 1 << 17
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
+PAD = max(WIDTHS)
 PREFIXES = (4, 5, 6)
 EPOCHS = 6
 SEED = 3
@@ -48,8 +49,9 @@ _LETTER[[*range(58, 65), *range(91, 97), *range(123, 128)]] = False
 def word_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids, first): bucket ids per word (whole, then prefixes), and each row's first row in ``ids``.
 
-    Words are runs of letters, digits and non-ASCII bytes, ASCII lower-cased.  Two
-    rows of the padding id ``BUCKETS`` follow each text, so no window spans texts.
+    Words are runs of letters, digits and non-ASCII bytes, ASCII lower-cased.  
+    ``PAD`` rows of the padding id ``BUCKETS`` follow each text, so that every width
+    has a window in the shortest one.
     """
     buf, offsets = text_buffer(column)
     buf = lower_ascii(buf)
@@ -64,12 +66,12 @@ def word_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
     begin = np.searchsorted(starts, offsets)
     rows = len(offsets) - 1
-    ids = np.full((len(starts) + 2 * rows, 1 + len(PREFIXES)), BUCKETS, dtype=np.int32)
-    at = np.arange(len(starts)) + 2 * np.repeat(np.arange(rows), np.diff(begin))
+    ids = np.full((len(starts) + PAD * rows, 1 + len(PREFIXES)), BUCKETS, dtype=np.int32)
+    at = np.arange(len(starts)) + PAD * np.repeat(np.arange(rows), np.diff(begin))
     for k, size in enumerate((None, *PREFIXES)):
         ends = stops if size is None else np.minimum(stops, starts + size)
         ids[at, k] = (hash_words(buf, starts, ends, seed=k + 1) % np.uint64(BUCKETS)).astype(np.int32)
-    return ids, begin[:-1] + 2 * np.arange(rows)
+    return ids, begin[:-1] + PAD * np.arange(rows)
 
 
 @dataclass
@@ -84,18 +86,23 @@ class Model:
     shift: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)
 
-    def hidden(self, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def hidden(self, ids: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per width the window vectors and filter outputs; windows that would reach into the next text are void."""
+        last = np.append(first[1:], len(ids)) - 1
         x = self.embed[ids[:, 0]]
         for k in range(1, ids.shape[1]):
             x += self.embed[ids[:, k]]
         out = []
         for w, b, width in zip(self.filters, self.bias, WIDTHS, strict=True):
             rows = x if width == 1 else np.concatenate([np.concatenate([x[j:], np.zeros((j, DIM), np.float32)]) for j in range(width)], axis=1)
-            out.append((rows, rows @ w + b))
+            h = rows @ w + b
+            for j in range(width - 1):
+                h[last - j] = -np.inf
+            out.append((rows, h))
         return out
 
     def logits(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        pooled = np.concatenate([np.maximum(np.maximum.reduceat(h, first, axis=0), 0) for _, h in self.hidden(ids)], axis=1)
+        pooled = np.concatenate([np.maximum(np.maximum.reduceat(h, first, axis=0), 0) for _, h in self.hidden(ids, first)], axis=1)
         return pooled @ self.out + self.out_bias
 
     def scores(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -143,7 +150,7 @@ def fit(texts: list[str], labels: list[int], positive_share: float, epochs: int
             ids = np.concatenate([docs[i] for i in rows])
             first = np.concatenate([[0], np.cumsum([len(docs[i]) for i in rows])[:-1]]).astype(np.int64)
             ends = np.append(first[1:], len(ids))
-            hidden, best = model.hidden(ids), []
+            hidden, best = model.hidden(ids, first), []
             for _, h in hidden:
                 best.append(np.stack([h[s:e].argmax(0) + s for s, e in zip(first, ends, strict=True)]))
             tops = [np.maximum(np.take_along_axis(h, b, 0), 0) for (_, h), b in zip(hidden, best, strict=True)]
