@@ -3,7 +3,8 @@
 Leaves are runs of up to eight words inside a paragraph (line), paragraphs hash
 their leaves, sections hash runs of paragraphs, and the root hashes the sections.
 A section ends after a paragraph whose own digest is divisible by four, so an
-inserted paragraph moves no other boundary.  Equal roots mean equal texts;
+inserted paragraph moves no other boundary.  Leaves keep every character, so equal
+roots mean equal texts, up to collisions of 64-bit leaf and paragraph hashes;
 ``differing_sections`` walks from differing roots to the branches that changed.
 
 Defined results: null text counts as empty; the empty text has a root and no
@@ -35,17 +36,25 @@ def _pieces(text: Column) -> Column:
 
 
 def leaf_hashes(text: Column) -> Column:
-    """array<array<int>>: leaf hashes by paragraph."""
-    return F.transform(_pieces(text), lambda p: F.transform(p, lambda w: F.hash(w)))
+    """array<array<bigint>>: leaf hashes by paragraph."""
+    return F.transform(_pieces(text), lambda p: F.transform(p, lambda w: F.xxhash64(w)))
 
 
-def fingerprint(text: Column, leaves: Column) -> Column:
-    """``root:section/section``; a section is ``digest=paragraph,paragraph``, a paragraph its leaves' hex joined by dots."""
-    paragraph = F.transform(leaves, lambda p: F.array_join(F.transform(p, lambda h: F.lpad(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "."))
-    ended = F.transform(paragraph, lambda p: F.concat(p, F.when(F.xxhash64(p) % SECTION_MASK == 0, F.lit("/")).otherwise(F.lit(","))))
-    sections = F.transform(F.split(F.regexp_replace(F.array_join(ended, ""), "[,/]$", ""), "/"), lambda s: F.concat(F.lpad(F.hex(F.xxhash64(s)), 16, "0"), F.lit("="), s))
-    root = F.substring(hex_digest(text), 1, 32)
-    return F.lower(F.concat(root, F.lit(":"), F.array_join(sections, "/")))
+def _hex(h: Column) -> Column:
+    return F.lower(F.lpad(F.hex(h), 16, "0"))
+
+
+def fingerprint(leaves: Column) -> Column:
+    """``root:section/section``; a section is ``digest=paragraph,paragraph``, a paragraph ``digest~`` and its leaves' hex joined by dots.
+
+    Every digest is computed from its children's digests alone.
+    """
+    paragraph = F.transform(leaves, lambda p: F.array_join(F.transform(p, _hex), "."))
+    hashed = F.transform(paragraph, lambda p: F.struct(p.alias("leaves"), F.xxhash64(p).alias("digest")))
+    ended = F.transform(hashed, lambda p: F.concat(_hex(p["digest"]), F.lit("~"), p["leaves"], F.when(p["digest"] % SECTION_MASK == 0, F.lit("/")).otherwise(F.lit(","))))
+    runs = F.split(F.regexp_replace(F.array_join(ended, ""), "[,/]$", ""), "/")
+    sections = F.transform(runs, lambda s: F.concat(F.substring(hex_digest(F.regexp_replace(s, "~[^,]*", "")), 1, 32), F.lit("="), s))
+    return F.transform(F.array(sections), lambda every: F.concat(F.substring(hex_digest(F.array_join(F.transform(every, lambda s: F.substring_index(s, "=", 1)), "/")), 1, 32), F.lit(":"), F.array_join(every, "/")))[0]
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -81,7 +90,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     every = every.withColumn("leaves", F.flatten(leaf_hashes(F.col("text"))))
     w = Window.partitionBy("b").orderBy("doc_id", "real", "text")
     near = every.select("doc_id", "real", "text", "leaves", F.lag("text").over(w).alias("next_text"), F.lag("leaves").over(w).alias("next_leaves")).where("real = 1").drop("real")
-    alone = rows.where("doc_id IS NULL").select("doc_id", "text", F.flatten(leaf_hashes(F.col("text"))).alias("leaves"), F.lit("").alias("next_text"), F.expr("cast(array() as array<int>)").alias("next_leaves"))
+    alone = rows.where("doc_id IS NULL").select("doc_id", "text", F.flatten(leaf_hashes(F.col("text"))).alias("leaves"), F.lit("").alias("next_text"), F.expr("cast(array() as array<bigint>)").alias("next_leaves"))
     return near.unionByName(alone)
 
 
@@ -94,8 +103,8 @@ def op5_merkle(docs: DataFrame) -> DataFrame:
         "doc_id",
         n.cast("long").alias("n_chars"),
         hex_digest(F.col("edited")).alias("edited_sha256"),
-        fingerprint(F.col("text"), F.col("tree")).alias("fingerprint"),
-        fingerprint(F.col("edited"), F.col("edited_tree")).alias("edited_fingerprint"),
+        fingerprint(F.col("tree")).alias("fingerprint"),
+        fingerprint(F.col("edited_tree")).alias("edited_fingerprint"),
         likeness(F.col("leaves"), F.flatten("edited_tree")).alias("near_edited"),
         likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
     )

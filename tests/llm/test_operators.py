@@ -122,6 +122,12 @@ def test_merkle(spark, docs_of):
         assert (r.n_chars, r.edited_sha256) == (len(t), sha(edited)) and 0 <= r.near_next <= 1
         assert (r.fingerprint == r.edited_fingerprint) == (t == edited)
     assert rows[51].fingerprint == rows[90].fingerprint and rows[3].fingerprint == rows[10].fingerprint and rows[50].near_edited > 0.4
+    for r in rows.values():
+        root, body = r.fingerprint.split(":")
+        sections = [x.split("=") for x in body.split("/")]
+        assert root == sha("/".join(d for d, _ in sections))[:32]
+        for digest, paragraphs in sections:
+            assert digest == sha(",".join(x.split("~")[0] for x in paragraphs.split(",")))[:32]
     diff = merkle.differing_sections(F.lit(rows[50].fingerprint), F.lit(rows[50].edited_fingerprint))
     same = merkle.differing_sections(F.lit(rows[51].fingerprint), F.lit(rows[90].fingerprint))
     got = spark.range(1).select(F.size(diff), F.size(same)).first()
