@@ -10,7 +10,7 @@ header plus samples.  Features are integer statistics of the samples read back.
 
 Defined results: null text or html counts as empty; an empty payload is one row of
 zeros; a reference without a stored payload keeps null media; equal payloads are
-stored once; rows that share an id are each answered; extra columns are ignored;
+described once; rows that share an id are each answered; extra columns are ignored;
 empty tables give empty results.
 """
 
@@ -147,10 +147,10 @@ def feature(payload: bytes) -> str:
 
 
 def media_store(texts: DataFrame) -> DataFrame:
-    """``(digest, media)``: each distinct payload of ``text`` once, in its stored form.
+    """``(digest, media)``: the payloads of ``text`` in their stored form, written to the shared folder.
 
-    Copies inside a task are dropped before the exchange, so a text that fills a
-    third of the corpus is sent once per task.
+    A task stores each of its payloads once and nothing is exchanged, so a payload is
+    stored at most once per task; ``described`` has one row for it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +166,14 @@ def media_store(texts: DataFrame) -> DataFrame:
                     media.append(encode(payload))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
 
-    return texts.select(F.col("text").cast("string")).mapInArrow(run, "digest string, media binary").dropDuplicates(["digest"])
+    return materialise(texts.select(F.col("text").cast("string")).mapInArrow(run, "digest string, media binary"), "media")
 
 
 _FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def described(store: DataFrame) -> DataFrame:
-    """Reads every stored payload back: its sizes, digests, tail checksum and feature."""
+    """Reads every stored payload back: one row a digest with its sizes, digests, tail checksum and feature."""
     names = [c.split()[0] for c in _FEATURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def described(store: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return store.select("digest", "media").mapInArrow(run, _FEATURES)
+    return store.select("digest", "media").mapInArrow(run, _FEATURES).dropDuplicates(["digest"])
 
 
 def _digest(text: Column) -> Column:
@@ -201,6 +201,6 @@ def op4_media_sequences(docs: DataFrame) -> DataFrame:
     page = F.concat(F.lit('<article><figure><img src="digest:'), _digest(F.col("text")), F.lit('" alt="document"><figcaption>'), F.coalesce(F.octet_length("text"), F.lit(0)).cast("string"), F.lit("</figcaption></figure></article>"))
     pages = docs.select(F.col("doc_id").cast("long").alias("doc_id"), page.alias("html"))
     # The description of a payload is small; written once, either side of the join can be split.
-    found = materialise(described(media_store(docs)), "media")
+    found = materialise(described(media_store(docs)), "described")
     out = resolve(sequences(pages, "doc_id"), "doc_id", found)
     return out.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
