@@ -11,18 +11,27 @@ from .selection import dot, normalised, ranked_within
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+#: Rows of either side that one block of the nearest-neighbour search holds.
+BLOCK = 4096
+
+
 def knn(queries: DataFrame, pool: DataFrame, k: int, group: str | None = None) -> DataFrame:
     """``(query_id, rank, id, similarity)``: the ``k`` pool rows nearest by cosine, ties by id.
 
-    The pool side must be small (it is bounded by design): it is counted first and
-    broadcast; a larger one is refused.  The per-query top-k is limited in each task
-    before the exchange.
+    A counted, small pool is broadcast; a larger one meets the queries block by block
+    in an equi-join.  The per-query top-k is limited in each task before the exchange.
     """
-    if not small(pool):
-        raise ValueError("the pool is too large to hold against every query")
     q = queries.select(F.col("id").alias("query_id"), *([F.col(group).alias("_g")] if group else []), normalised(F.col("embedding")).alias("_q"))
-    p = F.broadcast(pool.select("id", *([F.col(group).alias("_pg")] if group else []), normalised(F.col("embedding")).alias("_p")))
-    pairs = q.join(p, F.col("_g") == F.col("_pg")) if group else q.join(p)
+    p = pool.select("id", *([F.col(group).alias("_pg")] if group else []), normalised(F.col("embedding")).alias("_p"))
+    same = F.col("_g") == F.col("_pg") if group else F.lit(True)
+    if small(pool):
+        pairs = q.join(F.broadcast(p), same)
+    else:
+        n_q, n_p = -(-queries.count() // BLOCK), -(-pool.count() // BLOCK)
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+        q = q.select("*", F.pmod(F.xxhash64("query_id"), F.lit(max(n_q, 1))).cast("int").alias("_a"), every(n_p).alias("_b"))
+        p = p.select("*", F.pmod(F.xxhash64("id"), F.lit(n_p)).cast("int").alias("_d"), every(n_q).alias("_c"))
+        pairs = q.join(p, (F.col("_a") == F.col("_c")) & (F.col("_b") == F.col("_d")) & same)
     scored = pairs.select("query_id", "id", F.round(dot(F.col("_q"), F.col("_p")), 9).alias("similarity"))
     return ranked_within(scored, "query_id", [F.col("similarity").desc(), F.col("id")], k)
 

@@ -10,12 +10,15 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small
 from .splits import hash_order, top_k_by_group
 
+#: Most groups whose picks or means are broadcast to the rows.
+FEW_GROUPS = 1000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -138,32 +141,41 @@ def greedy_dpp(vectors: np.ndarray, k: int, ridge: float = 1e-6, start: list[int
     return chosen
 
 
-def select_dpp(pool: DataFrame, k: int, group: str | None = None, anchor: bool = False, vec: str = "embedding", min_norm: float = 0.0) -> DataFrame:
-    """Diverse rows per group by a determinantal point process; ``anchor`` starts from the most central row.
+def select_dpp(pool: DataFrame, k: int, group: str | None = None, anchor: bool = False, vec: str = "embedding", min_norm: float = 0.0, ridge: float = 1e-6) -> DataFrame:
+    """Diverse rows per group by greedy MAP of a k-DPP; ``anchor`` starts from the most central row.
 
-    Pools are bounded (tens of rows per group), so a group is one matrix.
+    Round by round, every row's remaining gain follows from its cosines with the rows
+    chosen so far, and each group's best row is a partial-aggregated minimum: no group
+    is gathered and no kernel is formed.  Ties (gains equal to 11 digits) go to the lowest id.
+    ``value`` is the log-determinant of the group's choice.
     """
     key = F.col(group) if group else F.lit("")
-    kind = dict(pool.dtypes)["id"]
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        vectors = np.array([np.asarray(v, float) for v in pdf["v"]])
-        keep = np.flatnonzero(np.linalg.norm(vectors, axis=1) > min_norm) if min_norm else np.arange(len(vectors))
-        vectors, ids = vectors[keep], pdf["id"].to_numpy()[keep]
-        take = min(k, len(ids))
-        start = []
-        if anchor and take:
-            unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-            start = [int(np.linalg.norm(unit - unit.mean(0), axis=1).round(12).argmin())]
-        if take == 1 and not start:
-            start = [int(np.linalg.norm(vectors, axis=1).round(12).argmax())]
-        chosen = greedy_dpp(vectors, take, start=start) if take else []
-        value = logdet(gram(vectors), chosen) if take else 0.0
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "id": ids[chosen], "rank": np.arange(1, len(chosen) + 1), "value": value})
-
     rows = pool.select(key.cast("string").alias("g"), "id", F.col(vec).alias("v"))
-    return rows.groupBy("g").applyInPandas(pick, f"g string, id {kind}, rank int, value double")
+    rows = rows.where(norm(F.col("v")) > min_norm) if min_norm else rows
+    base = rows.select("g", "id", normalised(F.col("v")).alias("u"), F.round(norm(F.col("v")), 11).alias("size"))
+    groups = base.select("g").distinct()
+    side = F.broadcast if small(groups, FEW_GROUPS) else lambda rows: rows
+    first = F.round(dot(F.col("u"), F.col("u")) + ridge, 11)
+    if anchor:
+        base = base.join(side(mean_vector(base, "u", ["g"])), "g")
+        gap = F.zip_with("u", "mean", lambda x, y: x - y)
+        first = -F.round(norm(gap), 11)
+        base = base.withColumn("first", first).drop("mean")
+    else:
+        base = base.withColumn("first", F.col("size") if k == 1 else first)
+    kind = dict(base.dtypes)["id"]
+    none = F.expr(f"cast(array() as array<struct<id:{kind},u:array<double>,c:array<double>,left:double>>)")
+    picks = groups.withColumn("p", none)
+    for at in range(k):
+        c = F.aggregate("p", F.expr("cast(array() as array<double>)"), lambda done, x: F.concat(done, F.array((dot(F.col("u"), x["u"]) - dot(done, x["c"])) / F.sqrt(x["left"]))))
+        scored = base.join(side(picks), "g").withColumn("c", c).withColumn("left", F.greatest(dot(F.col("u"), F.col("u")) + ridge - dot(F.col("c"), F.col("c")), F.lit(1e-300)))
+        chosen = F.exists("p", lambda x: x["id"] == F.col("id"))
+        gain = F.col("first") if at == 0 else F.round("left", 11)
+        best = F.min_by(F.struct("id", "u", "c", "left"), F.struct(chosen, -gain, "id"))
+        # A group with no row left keeps its picks.
+        picks = scored.groupBy("g").agg(F.any_value("p").alias("p"), best.alias("best")).select("g", F.when(F.exists("p", lambda x: x["id"] == F.col("best.id")), F.col("p")).otherwise(F.concat("p", F.array("best"))).alias("p"))
+    value = F.aggregate("p", F.lit(0.0), lambda s, x: s + F.log(x["left"]))
+    return picks.select("g", value.alias("value"), F.posexplode("p").alias("at", "x")).select("g", F.col("x.id").alias("id"), (F.col("at") + 1).alias("rank"), "value")
 
 
 def select_pattern_dpp(pool: DataFrame, k: int, group: str | None = None) -> DataFrame:

@@ -486,16 +486,16 @@ def _(spark, d):
     return _r(selection.select_representative(_vectors(spark, d), 10)).select("id", "value", "rank")
 
 
-@query("knn_topk", f"WITH {_VEC}, s AS (SELECT q.id AS query_id, p.id, round(list_dot_product(q.v, p.v), 9) AS s FROM u q, u p WHERE q.id < 20 AND p.id >= 20), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s) SELECT query_id, id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 3")
+@query("knn_topk", f"WITH {_VEC}, s AS (SELECT q.id AS query_id, p.id, round(list_dot_product(q.v, p.v), 9) AS s FROM u q, u p WHERE q.id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s) SELECT query_id, id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 3")
 def _(spark, d):
     v = _vectors(spark, d)
-    return _r(retrieval.knn(v.where("id < 20"), v.where("id >= 20"), 3))
+    return _r(retrieval.knn(v.where("id % 100 = 0"), v, 3))
 
 
-@query("knn_topk_by_label", f"WITH {_VEC}, s AS (SELECT q.id AS query_id, p.id, round(list_dot_product(q.v, p.v), 9) AS s FROM u q JOIN u p ON p.label = q.label WHERE q.id < 20 AND p.id >= 20), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s) SELECT query_id, id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 3")
+@query("knn_topk_by_label", f"WITH {_VEC}, s AS (SELECT q.id AS query_id, p.id, round(list_dot_product(q.v, p.v), 9) AS s FROM u q JOIN u p ON p.label = q.label WHERE q.id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s) SELECT query_id, id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 3")
 def _(spark, d):
     v = _vectors(spark, d)
-    return _r(retrieval.knn(v.where("id < 20"), v.where("id >= 20"), 3, "intent"))
+    return _r(retrieval.knn(v.where("id % 100 = 0"), v, 3, "intent"))
 
 
 def _unit_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -528,12 +528,12 @@ def _(spark, d):
 
 @query("dpp_by_label")
 def _(spark, d):
-    return selection.select(_vectors(spark, d).where("id < 500"), "dpp_stratified", 4)
+    return selection.select(_vectors(spark, d), "dpp_stratified", 4)
 
 
 @query("anchor_dpp")
 def _(spark, d):
-    return selection.select(_vectors(spark, d).where("id < 500"), "anchor_dpp", 5)
+    return selection.select(_vectors(spark, d), "anchor_dpp", 5)
 
 
 # -- text
@@ -541,7 +541,7 @@ def _(spark, d):
 
 @query(
     "bm25_topk",
-    r"""WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS t FROM documents WHERE doc_id < 200), n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
+    r"""WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS t FROM documents), n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
     tf AS (SELECT id, len(t) AS dl, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM d) GROUP BY ALL),
     i0 AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, n GROUP BY term, n), i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i0) ELSE raw END AS idf FROM i0),
     q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
@@ -550,7 +550,7 @@ def _(spark, d):
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM z) SELECT query_id, id, round(score, 5) AS score, rank FROM r WHERE rank <= 3""",
 )
 def _(spark, d):
-    pool = load(spark, d, "documents").where("doc_id < 200").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    pool = load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     return _r(retrieval.bm25(load(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), pool, 3), 5)
 
 
@@ -594,7 +594,7 @@ def _(spark, d):
 
 @query("icl_example_format")
 def _(spark, d):
-    docs = load(spark, d, "documents").where("doc_id < 50").select("doc_id", F.split("text", "\n").alias("u"))
+    docs = load(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("u"))
     labelled = docs.withColumn("y", F.transform("u", lambda x, i: (i % 3 == 0).cast("int")))
     return labelled.select("doc_id", prompts.example(F.col("u"), F.col("y"), F.lit("find facts"), seed=F.col("doc_id")).alias("example"))
 

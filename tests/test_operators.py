@@ -91,6 +91,35 @@ def test_dpp_takes_the_best_determinant():
         selection.greedy_dpp(v, 8)
 
 
+def test_dpp_by_rounds_equals_the_kernel_form(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(40, 5))
+    vectors[7], vectors[11] = vectors[3], 0.0
+    pool = spark.createDataFrame([(i, "ab"[i % 3 == 0], v.tolist()) for i, v in enumerate(vectors)], "id long, intent string, embedding array<double>")
+    for group in (None, "intent"):
+        got = selection.select_dpp(pool, 4, group).orderBy("g", "rank").collect()
+        for g in {r.g for r in got}:
+            ids = [i for i in range(40) if not group or "ab"[i % 3 == 0] == g]
+            want = selection.greedy_dpp(vectors[ids], 4)
+            assert [r.id for r in got if r.g == g] == [ids[i] for i in want]
+            assert next(r.value for r in got if r.g == g) == pytest.approx(selection.logdet(selection.gram(vectors[ids]), want), abs=1e-6)
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    centre = int(np.linalg.norm(unit - unit.mean(0), axis=1).round(11).argmin())
+    assert [r.id for r in selection.select_dpp(pool, 3, anchor=True).orderBy("rank").collect()] == selection.greedy_dpp(vectors, 3, start=[centre])
+    assert selection.select_dpp(pool.where("id < 2"), 5).count() == 2 and selection.select_dpp(pool.limit(0), 3).count() == 0
+
+
+def test_knn_in_blocks_equals_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    pool = spark.createDataFrame([(i, "ab"[i % 2], rng.normal(size=3).tolist()) for i in range(60)], "id long, intent string, embedding array<double>")
+    for group in (None, "intent"):
+        want = sorted(map(tuple, retrieval.knn(pool.where("id < 9"), pool, 4, group).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "small", lambda df: False)
+            m.setattr(retrieval, "BLOCK", 7)
+            assert sorted(map(tuple, retrieval.knn(pool.where("id < 9"), pool, 4, group).collect())) == want
+
+
 def test_strategies_by_name(spark):
     rng = np.random.default_rng(2)
     rows = [(i, "ab"[i % 2], [0, 0, 1, 1], rng.normal(size=3).tolist(), rng.normal(size=(4, 3)).tolist()) for i in range(12)]
