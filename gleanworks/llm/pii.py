@@ -197,7 +197,8 @@ def train(candidate_rows: DataFrame) -> dict[str, tuple[float, dict[str, float]]
     """Label model then span classifier: per kind an intercept and log-odds by vote and by feature."""
     span = F.col("span")
     votes = [v.cast("int").alias(k) for k, v in _votes(span).items()]
-    counted = candidate_rows.select(F.explode("spans").alias("span")).select(span["kind"].alias("kind"), *votes, _features(span).alias("features")).groupBy("kind", *LABELERS, "features").count().collect()
+    # A plain explode would infer a filter on the array and push it, patterns and all, into the lambdas: quadratic in a text's matches.
+    counted = candidate_rows.select(F.explode_outer("spans").alias("span")).where("span IS NOT NULL").select(span["kind"].alias("kind"), *votes, _features(span).alias("features")).groupBy("kind", *LABELERS, "features").count().collect()
     total: dict[tuple, int] = {}
     for r in counted:
         key = (r["kind"], *[r[v] for v in LABELERS])
