@@ -1,9 +1,10 @@
 """Merkle fingerprints of documents, in DataFrame expressions only.
 
-Leaves are runs of up to eight words inside a paragraph (line), paragraphs hash
-their leaves, sections hash runs of paragraphs, and the root hashes the sections.
-A section ends after a paragraph whose own digest is divisible by four, so an
-inserted paragraph moves no other boundary.  Leaves keep every character, so equal
+Leaves are runs of words inside a paragraph (line), paragraphs hash their leaves,
+sections hash runs of paragraphs, and the root hashes the sections.  A leaf ends
+after a word whose hash is divisible by four, or after 16 words, in texts of every
+length; a section ends after a paragraph whose own digest is divisible by four.
+So an inserted word or paragraph moves no boundary beyond the next such end.  Leaves keep every character, so equal
 roots mean equal texts, up to collisions of 64-bit leaf and paragraph hashes;
 ``differing_sections`` walks from differing roots to the branches that changed.
 
@@ -21,18 +22,19 @@ from pyspark.sql import functions as F
 
 from .common import hex_digest
 
-#: Words in a leaf and, on average, paragraphs in a section.
-LEAF_WORDS = 8
-#: Texts of fewer characters have leaves of two words.
-SHORT = 256
+#: On average, words in a leaf and paragraphs in a section.
+LEAF_MASK = 4
 SECTION_MASK = 4
+#: Words after which a leaf ends where no word's hash ends it.
+MOST_WORDS = 16
 
 
 def _pieces(text: Column) -> Column:
     """array<array<string>>: the leaves' texts by paragraph."""
-    leaf = r"(?:[^\x20]++\x20*+){1,%d}+|\x20++"
-    pattern = F.when(F.length(text) < SHORT, F.lit(leaf % 2)).otherwise(F.lit(leaf % LEAF_WORDS))
-    return F.transform(F.split(text, "\n"), lambda p: F.regexp_extract_all(p, pattern, F.lit(0)))
+    word, leaf = r"[^\x20]++\x20*+|\x20++", r"(?:[^\x20\n]++\x20*+){1,%d}+|\x20++" % MOST_WORDS
+    # Lines hold no line feed, so it marks the ends.
+    ended = lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(word), F.lit(0)), lambda w: F.when(F.xxhash64(w) % LEAF_MASK == 0, F.concat(w, F.lit("\n"))).otherwise(w)), "")
+    return F.transform(F.split(text, "\n"), lambda p: F.regexp_extract_all(ended(p), F.lit(leaf), F.lit(0)))
 
 
 def leaf_hashes(text: Column) -> Column:

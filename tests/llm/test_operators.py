@@ -136,6 +136,17 @@ def test_merkle(spark, docs_of):
     assert merkle.op5_merkle(docs).count() == 2 and merkle.op5_merkle(docs.limit(0)).count() == 0
 
 
+def test_merkle_has_one_leaf_rule_for_all_lengths(spark, docs_of):
+    """Pairs on both sides of 256 characters share the leaves of their common text."""
+    rng = random.Random(11)
+    line = " ".join(words(rng, 100))
+    lines = "\n".join(" ".join(words(rng, 5)) for _ in range(20))[:260]
+    rows = {r.doc_id: r for r in merkle.op5_merkle(docs_of([None, line[:300], line[:250], line[:260], lines[:250], lines], range(6))).collect()}
+    assert rows[1].near_edited > 0.6 and rows[3].near_next > 0.8 and rows[5].near_next > 0.8
+    diff = spark.range(1).select(merkle.differing_sections(F.lit(rows[5].fingerprint), F.lit(rows[4].fingerprint))).first()[0]
+    assert 0 < len(diff) < rows[5].fingerprint.count("/") + 1
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return packing.default_tokenizer()
