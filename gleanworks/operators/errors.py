@@ -62,12 +62,18 @@ def rate(n_errors: Column, total: Column) -> Column:
     return F.coalesce(F.try_divide(n_errors, total), F.lit(0.0))
 
 
-def patterns(categorized: DataFrame, min_count: int = 2, key: str = "category", keep_ids: int = 100) -> DataFrame:
-    """Categories that occur at least ``min_count`` times: count, least ids, first message (200 characters)."""
+def patterns(categorized: DataFrame, min_count: int = 2, key: str = "category") -> DataFrame:
+    """Categories that occur at least ``min_count`` times: count, least id, its message (200 characters)."""
     ranked = categorized.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("sample_id").alias("first_id"), F.min_by(F.substring("message", 1, 200), "sample_id").alias("example"))
     return ranked.where(F.col("n") >= min_count).orderBy(F.col("n").desc(), key)
 
 
+def pattern_members(categorized: DataFrame, min_count: int = 2, key: str = "category") -> DataFrame:
+    """``(key, sample_id, action)``: every error of the categories that ``patterns`` returns, a row each."""
+    frequent = categorized.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count).select("_key")
+    return categorized.join(frequent, F.col(key).eqNullSafe(F.col("_key")), "left_semi").select(key, "sample_id", "action")
+
+
 def timeline(errors: DataFrame, ts: str = "ts") -> DataFrame:
     """Errors by hour; unreadable times are left out."""
     when = F.col(ts) if dict(errors.dtypes)[ts].startswith("timestamp") else F.try_to_timestamp(F.col(ts))

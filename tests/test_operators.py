@@ -167,6 +167,15 @@ def test_error_rules(spark):
     assert "Errors: 3 of 6" in errors.report(errors.categorize(df), 6)
 
 
+def test_error_patterns_have_all_members(spark):
+    rows = [(i, "HTTP 429") for i in range(150)] + [(150, "bad JSON"), (151, "odd"), (152, None)]
+    members = errors.pattern_members(errors.categorize(spark.createDataFrame(rows, "sample_id long, message string"))).collect()
+    got = {}
+    for r in members:
+        got.setdefault((r.category, r.action), []).append(r.sample_id)
+    assert {k: sorted(v) for k, v in got.items()} == {("rate_limit", errors.ACTIONS["rate_limit"]): list(range(150)), ("unknown", errors.ACTIONS["unknown"]): [151, 152]}
+
+
 def test_run_queries_on_tags_and_options(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "run_id long, tags array<string>")
     assert [r.run_id for r in runs.tagged(df, ["b", "z"]).collect()] == [1]
