@@ -147,6 +147,15 @@ def test_merkle_has_one_leaf_rule_for_all_lengths(spark, docs_of):
     assert 0 < len(diff) < rows[5].fingerprint.count("/") + 1
 
 
+def test_merkle_leaves_survive_shifted_words(spark, docs_of):
+    """A word put into or taken out of one long line disturbs only leaves beside it; long runs of one word still have several leaves."""
+    w = words(random.Random(13), 400)
+    texts = [" ".join(["new", *w]), " ".join(w), " ".join(w[:50] + w[51:]), None, " ".join(["x"] * 600), " ".join(["y"] * 600)]
+    rows = {r.doc_id: r for r in merkle.op5_merkle(docs_of(texts, range(6))).collect()}
+    assert rows[1].near_next > 0.9 and rows[2].near_next > 0.9
+    assert rows[4].near_edited > 0 and rows[5].near_edited > 0
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return packing.default_tokenizer()
