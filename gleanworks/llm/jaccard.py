@@ -21,7 +21,8 @@ emitted before it is known to be linked, and links leave a task as a forest.
 
 Defined results: null text or a text without words has no shingles and is linked
 with nothing; fewer words than a shingle are one shingle; rows that share a doc_id
-are one vertex; rows without doc_id keep a null component; extra columns are
+are in one component, and the texts of each keep their own links (the query's SQL
+joins such texts into one set instead); rows without doc_id keep a null component; extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -198,7 +199,7 @@ def _credits(quarters: DataFrame, n_parts: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ngram: int) -> DataFrame:
-    """``(doc_id, n, tokens)`` with the hashes as an array."""
+    """``(doc_id, n, s1, s2, tokens)`` with the hashes as an array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,9 +207,10 @@ def _sets(docs: DataFrame, ngram: int) -> DataFrame:
                 sets = [s.view(np.int64) for s in shingle_sets(piece.column(1), ngram)]
                 n = np.array([len(s) for s in sets], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), lists], names=["doc_id", "n", "tokens"])
+                s1, s2 = zip(*[signature(s.view(np.uint64)) for s in sets], strict=True)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists], names=["doc_id", "n", "s1", "s2", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, tokens array<long>")
 
 
 def linked_pairs(ids: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], query: np.ndarray, member: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -336,18 +338,43 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     info = materialise(described(texts, ngram), "info")
     owners = info.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("owner"))
+    # A doc_id with different texts can own several sets: all but the first get a vertex of their own.
+    known = info.where("doc_id IS NOT NULL").withColumn("set", F.struct("n", "s1", "s2"))
+    repeated = materialise(known.groupBy("doc_id").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi").select("doc_id"), "repeated")
+    shared_ids = repeated.limit(1).count() > 0
+    owners = owners.withColumn("v", F.col("owner"))
+    if shared_ids:
+        firsts = owners.groupBy("owner").agg(F.min(F.struct("n", "s1", "s2")).alias("first"))
+        owners = owners.join(firsts, "owner").withColumn("v", F.when(F.struct("n", "s1", "s2") == F.col("first"), F.col("owner")).otherwise(F.xxhash64("n", "s1", "s2"))).drop("first")
     credit = _credits(_quarters(texts, ngram, percent, RANGES * n_parts), n_parts)
     least = F.greatest(F.lit(1), F.floor(F.floor((percent * F.col("n") + 99) / 100) / 10))
-    alive = owners.withColumn("s48", F.col("s1").bitwiseAND(F.lit((1 << 48) - 1))).join(credit, "s48").where(F.col("credit") >= least).select(F.col("owner").alias("doc_id"), F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("n").alias("k"))
-    sets = materialise(_sets(texts.join(alive.select("doc_id").distinct(), "doc_id", "left_semi"), ngram).dropDuplicates(["doc_id"]), "sets")
+    alive = owners.withColumn("s48", F.col("s1").bitwiseAND(F.lit((1 << 48) - 1))).join(credit, "s48").where(F.col("credit") >= least).select("owner", "v", "n", "s1", "s2")
+    if shared_ids:
+        alive = materialise(alive, "alive")
+    found = _sets(texts.join(alive.select(F.col("owner").alias("doc_id")).distinct(), "doc_id", "left_semi"), ngram)
+    if shared_ids:
+        found = found.drop("doc_id").join(alive.select(F.col("v").alias("doc_id"), "n", "s1", "s2"), ["n", "s1", "s2"])
+    sets = materialise(found.dropDuplicates(["doc_id"]).select("doc_id", "n", "tokens"), "sets")
     tokens = sets.select("doc_id", "n", F.explode("tokens").alias("h"))
     common = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = tokens.join(common, "h").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
     enough = F.floor((percent * F.col("n") + 99) / 100)
     prefix = materialise(shared.where(F.size("s") >= enough).select("doc_id", F.explode(F.slice("s", F.lit(1), (F.size("s") - enough + 1).cast("int"))).alias("p")).select("doc_id", "p.h"), "prefix")
-    members = min_components(links(sets, prefix, percent, block))
+    edges = links(sets, prefix, percent, block)
+    if shared_ids:
+        own = owners.where("v <> owner").select("v", "owner")
+        for end in ("a", "b"):
+            edges = edges.join(own.select(F.col("v").alias(end), F.col("owner").alias("o")), end, "left").withColumn(end, F.coalesce("o", end)).drop("o")
+        texts_of = known.join(repeated, "doc_id", "left_semi").join(owners, ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("owner").alias("b"))
+        edges = edges.unionByName(texts_of.distinct())
+    members = min_components(edges)
     named = owners.join(members.select(F.col("vertex").alias("owner"), "component"), "owner", "left").select("n", "s1", "s2", F.coalesce("component", "owner").alias("component"))
-    return info.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = info.join(named, ["n", "s1", "s2"], "left")
+    if shared_ids:
+        # Rows without shingles follow the other rows of their doc_id.
+        of_id = members.select(F.col("vertex").alias("doc_id"), F.col("component").alias("of_id"))
+        out = out.join(of_id, "doc_id", "left").withColumn("component", F.coalesce("component", "of_id")).drop("of_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def op10_token_groups(docs: DataFrame) -> DataFrame:

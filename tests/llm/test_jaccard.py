@@ -57,6 +57,15 @@ def test_edge_rows(spark, docs_of):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_all_texts_of_a_shared_id_keep_their_links(spark, docs_of):
+    rng = random.Random(9)
+    one, two, three = ([f"{p}{rng.randrange(900)}" for _ in range(100)] for p in "abc")
+    near = lambda w: " ".join([*w, "end"])
+    texts = [near(one), near(two), " ".join(one), " ".join(two), None, near(three), " ".join(three), "", " ".join(three)]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(texts, [4, 3, 9, 9, 9, 20, 21, 30, 22])).collect()}
+    assert got == {(4, 98, 3), (3, 98, 3), (9, 97, 3), (9, 0, 3), (20, 98, 20), (21, 97, 20), (22, 97, 20), (30, 0, 30)}
+
+
 def test_block_links_equal_pairwise():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40))) for _ in range(30)]
