@@ -10,8 +10,9 @@ first occurrence is a partial-aggregated minimum, so a window that fills a third
 of the corpus costs one row per task.
 
 Defined results: null text has no lines and stays null; rows without doc_id are
-kept whole; rows that share a doc_id are one document; extra columns are kept;
-an empty table gives an empty result.
+kept whole; rows that share a doc_id count as one place in the corpus, but each
+text loses only its own windows; extra columns are kept; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -26,31 +27,32 @@ _POS = "cast(2147483648 as decimal(10,0))"
 
 
 def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``(doc_id, pos, h1, h2, place)``: each window's first line (from 1), its hash and its place in the corpus."""
-    lines = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("lines"))
+    """``(doc_id, t, pos, h1, h2, place)``: the text's hash, each window's first line (from 1), its hash and its place in the corpus."""
+    lines = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("t"), F.split("text", "\n").alias("lines"))
     items = ", ".join(f"element_at(lines, i + {k})" for k in range(width))
     backward = ", ".join(f"element_at(lines, i + {k})" for k in reversed(range(width)))
     blank = " AND ".join(f"trim(element_at(lines, i + {k})) = ''" for k in range(width))
     cut = lines.where(F.size("lines") >= width).select(
         "doc_id",
+        "t",
         F.expr(f"inline(transform(filter(sequence(1, size(lines) - {width - 1}), i -> NOT ({blank})), i -> struct(i AS pos, xxhash64({items}) AS h1, xxhash64(7, {backward}) AS h2)))"),
     )
     return cut.withColumn("place", F.expr(f"cast(doc_id as decimal(20,0)) * {_POS} + pos"))
 
 
 def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``(doc_id, starts)``: the windows of each document that occurred before."""
+    """``(doc_id, t, starts)``: the windows of each text that occurred before."""
     w = windows(docs, width)
     first = w.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = w.join(first, ["h1", "h2"]).where("place > first")
-    return later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
+    return later.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("starts"))
 
 
 def drop_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and ``n_lines``, ``n_removed``."""
-    found = repeated(docs, width).select(F.col("doc_id").alias("_ld_id"), F.col("starts").alias("_ld_starts"))
+    found = repeated(docs, width).select(F.col("doc_id").alias("_ld_id"), F.col("t").alias("_ld_t"), F.col("starts").alias("_ld_starts"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    both = docs.select(*rest).join(found, docs["doc_id"] == F.col("_ld_id"), "left")
+    both = docs.select(*rest).join(found, (docs["doc_id"] == F.col("_ld_id")) & (F.xxhash64(docs["text"]) == F.col("_ld_t")), "left")
     cut = both.withColumn("_ld_lines", F.split("text", "\n"))
     covered = F.expr(f"flatten(transform(_ld_starts, p -> sequence(p, p + {width - 1})))")
     cut = cut.withColumn("_ld_kept", F.when(F.col("_ld_starts").isNotNull(), F.array_except(F.sequence(F.lit(1), F.size("_ld_lines")), covered)))

@@ -51,6 +51,12 @@ def test_line_windows(spark, docs_of):
     assert linededup.op8_line_windows(docs_of(texts).limit(0)).count() == 0
 
 
+def test_line_windows_of_a_shared_id_stay_apart(spark, docs_of):
+    texts = ["a\nb\nc", "a\nb\nc\nd", "e\nf\ng\nh", "a\nb\nc\nd"]
+    out = linededup.drop_repeated_lines(docs_of(texts, [1, 2, 2, 2])).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in out) == [(1, "a\nb\nc", 0), (2, "d", 3), (2, "d", 3), (2, "e\nf\ng\nh", 0)]
+
+
 def test_mixing_weights_and_order(spark):
     x, w = mixing.solve([900, 90, 10], entropy=0.9, max_repeats=100)
     h = -sum(v * np.log(v) for v in w)
