@@ -11,6 +11,8 @@ hash ranges, so a source with a third of all rows is spread like any other.
 
 Defined results: null source is a source of its own; null text has no words;
 documents without words take no quota and appear once per pass that reaches them;
+a source without any words has no share and no pass, so its documents are left
+out, as in the query's SQL, and a table without words gives no rows;
 rows that share a doc_id are separate documents; extra columns are kept; an empty
 table gives an empty result.  More than ``MAX_SOURCES`` sources are an error.
 """

@@ -73,6 +73,15 @@ def test_mixing_weights_and_order(spark):
     assert out.block.max() == 3 and mixing.op2_temperature_mix(docs.withColumn("text", F.lit("x")).limit(0)).count() == 0
 
 
+def test_mixing_leaves_out_sources_without_words(spark):
+    """Stated in the docstring and the README."""
+    rows = [(1, "a", 5), (2, "a", 0), (3, "b", 0), (4, None, 0), (5, "c", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    assert {r.doc_id for r in mixing.mix_sources(docs, tokens="n").collect()} - {2} == {1, 5}
+    assert mixing.mix_sources(docs.where("n = 0"), tokens="n").count() == 0
+    assert "without any words" in mixing.__doc__
+
+
 def test_toxicity_learns_words_and_prefixes(spark, docs_of):
     rng = random.Random(5)
     texts, labels = [], []
