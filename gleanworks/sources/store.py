@@ -1,8 +1,7 @@
 """The run store: Parquet tables of datasets, models, runs and samples.
 
 Runs change state, Parquet rows do not, so every change appends a full version of
-its row; the current row is the newest version.  ``compact`` rewrites a table to
-its current rows.
+its row; the current row is the newest version.  Tables are not compacted.
 """
 
 from __future__ import annotations
