@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,34 +17,69 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 
 
+#: Folders that ``materialise`` and its like made in this process, for ``release``.
+_MADE: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; a local one only where the session names none and runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gleanworks-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; ``release`` deletes it."""
+    path = f"{shared_dir(spark)}/gleanworks-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return f"{path}/{name}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this process has written to the shared folder; results that still read it must be written out before."""
+    jvm = spark.sparkContext._jvm
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small, ship this package with the plans, and have a shared folder for checkpoints."""
+    """Ship this package with the plans, keep Arrow batches small (for this session), and have a shared folder for checkpoints."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
     shared_dir(spark)
-    # Shuffle files of a finished job are not read again: every reused table is written out.
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs inside go as soon as a job is done: what is written out is not computed again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gleanworks-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    path = folder(spark, name)
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, min_components, parts
+from .common import materialise, min_components, parts, tidy
 from .words import hash_runs, hash_words, lower_ascii, mix, slices, text_buffer, word_spans
 
 NGRAM = 4
@@ -334,6 +334,11 @@ def links(sets: DataFrame, prefix: DataFrame, percent: int = PERCENT, block: int
 
 def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row; components of links of at least ``percent`` %."""
+    with tidy(docs.sparkSession):
+        return _components(docs, ngram, percent, block)
+
+
+def _components(docs: DataFrame, ngram: int, percent: int, block: int) -> DataFrame:
     n_parts = parts(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     info = materialise(described(texts, ngram), "info")

@@ -104,6 +104,41 @@ def test_toxicity_learns_words_and_prefixes(spark, docs_of):
     assert {r.score for r in none.collect()} == {0.5}
 
 
+def test_toxicity_forward_pass_equals_brute_force(monkeypatch):
+    """Windows, padding, pooling and chunks of any size, against one window at a time."""
+    rng = np.random.default_rng(0)
+    texts = ["", None, "one", "One two", " ".join(f"w{i}" for i in range(50)), "x", "é ü " * 9]
+    model = toxicity.Model(rng.normal(size=(toxicity.BUCKETS + 1, toxicity.DIM)).astype(np.float32), [rng.normal(size=(w * toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS], [rng.normal(size=toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS], rng.normal(size=3 * toxicity.FILTERS).astype(np.float32) * 0.1, 0.3, 0.7, -0.2)
+    model.embed[toxicity.BUCKETS] = 0
+    ids, first = toxicity.word_ids(pa.array(texts, pa.string()))
+    want = []
+    for a, z in zip(first, [*first[1:], len(ids)], strict=True):
+        x = [sum(model.embed[j].astype(float) for j in row) for row in ids[a:z]]
+        best = []
+        for w, b, width in zip(model.filters, model.bias, toxicity.WIDTHS, strict=True):
+            best.append(np.maximum(np.max([np.concatenate(x[i : i + width]) @ w + b for i in range(len(x) - width + 1)], axis=0), 0))
+        want.append(1 / (1 + np.exp(-((np.concatenate(best) @ model.out + model.out_bias) * model.slope + model.shift))))
+    for chunk in (5, 7, 1 << 15):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        assert model.scores(ids, first) == pytest.approx(np.array(want), abs=1e-4)
+        top, at = model.pooled(ids, first, where=True)
+        assert top == pytest.approx(model.pooled(ids, first)[0], abs=1e-4) and (at >= first[:, None]).all()
+
+
+def test_toxicity_trains_on_long_texts_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(1)
+    texts = [" ".join([*words(rng, 20_000), "vile" if i % 2 else "fine"]) for i in range(60)]
+    tracemalloc.start()
+    model = toxicity.learn(texts, [i % 2 for i in range(60)], ["en"] * 60, 0.5, folds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and model.thresholds.keys() == {"en"}
+    a, b = toxicity.platt(np.array([-2.0, -1, 1, 2, 0.5, -0.5] * 50), np.array([0.0, 0, 1, 1, 0, 1] * 50), np.ones(300))
+    assert a > 0 and abs(b) < 0.1
+
+
 def test_media_round_trip(spark, docs_of):
     texts = [None, "", "a" * 64, "é" * 40, "x\0y", "x\0y", "long " * 30_000]
     rows = {r.doc_id: r for r in media.op4_media_sequences(docs_of(texts)).collect()}
