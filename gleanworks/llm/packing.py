@@ -1,12 +1,16 @@
 """First-fit-decreasing packing of tokenised documents.
 
 Each document is tokenised whole and cut into pieces of ``CAPACITY`` ids and one
-rest.  Pieces go to randomised groups of about ``GROUP_DOCS`` documents; inside a
-group, first-fit decreasing places each piece in the first sequence with room,
+rest.  The pieces of a row go to one of the randomised groups of about ``GROUP_DOCS``
+rows, by a hash of the row's place in its input split, so that null or repeated ids
+are spread like others; inside a group, first-fit decreasing places each piece in the first sequence with room,
 found in O(log n) by a tournament tree whose nodes hold the larger remaining
 capacity of their two children.  Groups are independent, so packing scales with
 their number, and a group's rows are bounded by its documents.
 
+A tokenizer whose normaliser, pattern and model settings are the ones that the chunk
+encoder follows is run on cached chunks; any other file's tokenizer is run on whole texts.
+
 Only (doc_id, start, length, checksum) rows are exchanged, never ids or texts.
 
 Defined results: null text counts as empty; every document ends in ``END_ID``, so
@@ -17,12 +21,14 @@ empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +49,21 @@ _SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
 
+# The settings of a tokenizer file that the chunk encoder follows.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def follows_chunks(settings: dict) -> bool:
+    """Whether a tokenizer's ids are its chunks' ids one after another, as ``ChunkEncoder`` makes them."""
+    marks = all(t["content"].startswith("<|") and not t["normalized"] for t in settings.get("added_tokens") or ())
+    model = {k: settings["model"].get(k) for k in _MODEL}
+    cuts = {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTE_LEVEL]}
+    return marks and settings.get("normalizer") == _NORMALIZER and settings.get("pre_tokenizer") == cuts and model == _MODEL
+
+
 class Words(dict):
     """Ids of lower-case pieces from the tokenizer's BPE model, kept like chunks."""
 
@@ -74,6 +95,7 @@ class ChunkEncoder(dict):
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
+        self.by_chunks = follows_chunks(json.loads(self.whole.to_str()))
         self.bpe = self.whole.model
         self.words = Words(self.bpe)
         self.old: dict[str, bytes] = {}
@@ -100,20 +122,24 @@ class ChunkEncoder(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def text(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if not self.by_chunks or _ODD.search(text):
             return self.pack(self.whole.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.__getitem__, text.split()))
 
 
 def tokenised(docs: DataFrame, tokenizer: str, each: Callable[[bytes], list[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
-    """``doc_id`` and one row for every tuple that ``each`` makes of a document's ids (as bytes)."""
+    """``row``, ``doc_id`` and one row for every tuple that ``each`` makes of a document's ids (as bytes).
+
+    ``row`` numbers the input rows: the split in the high 32 bits, the place in it in the low ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder(tokenizer)
+        encode, at = ChunkEncoder(tokenizer), TaskContext.get().partitionId() << 32
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows += [(doc_id, *r) for r in each(encode.text(text.as_py() or ""))]
+                rows += [(at, doc_id, *r) for r in each(encode.text(text.as_py() or ""))]
+                at += 1
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -151,21 +177,21 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
     return where
 
 
-_PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
-_PIECE_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-_OUT = pa.schema([*_PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64())])
+_PIECE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
+_PIECE_DDL = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, end_id: int = END_ID, seed: int = SEED) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)`` of every piece.
 
     ``sequence_id`` is the group in its high 32 bits and the sequence in the low ones.
+    Null texts are empty ones; null and repeated ids are packed row by row.
     """
     spark = docs.sparkSession
     groups = max(1, -(-docs.count() // group_docs))
     pieces = tokenised(docs, tokenizer, lambda ids: cut(ids, capacity, end_id), _PIECE, _PIECE_DDL)
-    # Pieces of one document stay together; the documents of a group are random.
-    key = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(seed)), F.lit(groups)).cast("long")
+    # Pieces of one row stay together; the rows of a group are random.
+    key = F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(groups)).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -176,7 +202,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_docs:
                 rows = pa.Table.from_batches(held).combine_chunks()
                 where = first_fit_decreasing(rows.column("length").to_pylist(), capacity)
                 base = group << 32
-                rows = rows.drop_columns("g").append_column("sequence_id", pa.array([base + b for b, _ in where], pa.int64())).append_column("offset", pa.array([o for _, o in where], pa.int64()))
+                rows = rows.drop_columns(["g", "row"]).append_column("sequence_id", pa.array([base + b for b, _ in where], pa.int64())).append_column("offset", pa.array([o for _, o in where], pa.int64()))
                 yield from rows.to_batches()
 
         for batch in batches:
@@ -190,8 +216,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_docs:
                 held.append(batch.slice(a, z - a))
         yield from packed()
 
-    dealt = pieces.select(key.alias("g"), *_PIECE.names).repartition(max(1, min(groups, parts(spark))), "g").sortWithinPartitions("g", "doc_id", "start", "ids_crc32")
-    return dealt.mapInArrow(run, _PIECE_DDL + ", sequence_id long, offset long")
+    dealt = pieces.select(key.alias("g"), *_PIECE.names).repartition(max(1, min(groups, parts(spark))), "g").sortWithinPartitions("g", "row", "start")
+    return dealt.mapInArrow(run, _PIECE_DDL.removeprefix("row long, ") + ", sequence_id long, offset long")
 
 
 def default_tokenizer() -> str:
@@ -202,4 +228,5 @@ def default_tokenizer() -> str:
 
 
 def op6_ffd_packing(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """``pack`` of the whole table with the word-level tokenizer; its defined results hold."""
     return pack(docs, tokenizer or default_tokenizer())
