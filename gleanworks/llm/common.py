@@ -20,6 +20,7 @@ ARROW_ROWS = 512
 #: Folders that ``materialise`` and its like made in this process, for ``release``.
 _MADE: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,12 +44,21 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{path}/{name}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this process has written to the shared folder; results that still read it must be written out before."""
-    jvm = spark.sparkContext._jvm
     while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _MADE.pop())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that no result reads any more."""
+    for table in tables:
+        delete(table.sparkSession, table._written)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -61,17 +71,24 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 @contextlib.contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the jobs inside go as soon as a job is done: what is written out is not computed again."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def tidy(spark: SparkSession, ordered: bool = False) -> Iterator[None]:
+    """Session settings for the jobs inside, put back afterwards.
+
+    Shuffle files go as soon as a job is done: what is written out is not computed again.
+    With ``ordered``, the order of bucketed files counts, so that merge joins do not sort.
+    """
+    wanted = {_CLEANUP: "true"} | ({_ORDER: "true"} if ordered else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
@@ -80,7 +97,9 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = folder(spark, name)
     with tidy(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,7 +133,8 @@ def min_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     e = e.where("a <> b")
     for _ in range(max_rounds):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Written out, so that the join can split a vertex with very many edges.
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).checkpoint()
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a")

@@ -5,40 +5,61 @@ the ``GRAM``-word runs inside it, so equal windows have equal fingerprints and
 neighbouring windows mostly share theirs: a run of the index holds about one row
 per twenty words instead of one per word.
 
-``SubstringIndex.ingest`` fingerprints a batch, merge-joins it on the fingerprint
-with the sorted immutable runs of all earlier batches, notes every fingerprint
-that two different texts share, appends the batch as a new run and merges runs
-once there are ``FANOUT`` of them.  ``verify`` then hashes the full windows behind
-the noted fingerprints (96 bits of all fifty words) and keeps those that start in
-a document with a smaller doc_id.  Exact copies are found by 128 bits of their
-text and are never cut into windows.
+``SubstringIndex`` keeps sorted, immutable, bucketed runs in a shared folder: distinct
+texts, their fingerprints, the distinct fingerprints, those that two texts have shared,
+and 95-bit hashes of the windows behind these with the smallest doc_id that holds them.  ``ingest`` takes a batch, merge-joins its fingerprints with the
+runs of history, hashes the windows behind newly shared ones (of the batch, and of the
+texts in the index that hold them), merge-joins these with the window runs and returns
+the batch's repeated windows: documents of earlier batches are not read again.  Once a
+level has ``FANOUT`` runs they are merged into one of the next level.  A manifest,
+written last, names the current runs; an index is opened again by its path alone, and a
+batch that failed half-way leaves it as it was.
+
+Hot values: a fingerprint's rows are spread over ``SALTS`` buckets, a window's run has one
+row whatever the number of documents, and the join of a batch's windows with their first
+documents is split by Spark where a window fills a partition.  Exact copies are found by
+128 bits of their text and are never cut into windows.
 
 Defined results: null text has no words; rows without doc_id are kept whole; rows
 that share a doc_id never remove each other's words; documents of fewer than
 ``WINDOW`` words lose nothing; extra columns are ignored; an empty table gives an
-empty result.
+empty result.  A document is held against all smaller doc_ids of its own and of
+earlier batches, so batches in order of doc_id give the result of one whole table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, parts, shared_dir
+from .common import delete, discard, folder, materialise, parts, tidy
 from .words import hash_runs, hash_words, slices, sliding_min, text_buffer, word_spans
 
 WINDOW = 50
 GRAM = 10
-#: Runs that are merged into one.
-FANOUT = 2
-#: Batches that the registered query feeds, in order of doc_id.
-BATCHES = 2
+#: Runs of a level that are merged into one of the next.
+FANOUT = 4
+#: Batches that the registered query feeds, in order of doc_id: the last one meets merged runs.
+BATCHES = 5
+#: Buckets that the rows of one fingerprint are spread over.
+SALTS = 8
+#: Per kind of run: columns, those that buckets are dealt by, and the order inside a bucket.
+KINDS = {
+    "prints": ("h long, s int, t long", ("h", "s"), ("h", "s", "t")),
+    "heads": ("h long", ("h",), ("h",)),
+    "shared": ("h long", ("h",), ("h",)),
+    "texts": ("t long, t2 long, owner long, text string", ("t",), ("t", "t2")),
+    "windows": ("k1 long, k2 int, lo long", ("k1", "k2"), ("k1", "k2")),
+}
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -73,65 +94,141 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 
 
 class SubstringIndex:
-    """Sorted immutable runs of fingerprints in a folder that all executors share."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, gram: int = GRAM):
-        self.spark, self.window, self.gram = spark, window, gram
-        self.path = path or f"{shared_dir(spark)}/gleanworks-{uuid.uuid4().hex}/fingerprints"
-        self.runs: list[str] = []
-        self.hits: list[DataFrame] = []
-        self.made = 0
-
-    def _write(self, rows: DataFrame) -> str:
-        self.made += 1
-        path = f"{self.path}/run-{self.made:06d}"
-        rows.repartition(parts(self.spark), "h").sortWithinPartitions("h", "t").write.parquet(path)
-        return path
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h long, t long").parquet(*paths)
-
-    def ingest(self, batch: DataFrame) -> None:
-        """Fingerprint ``batch``, note what it shares with itself and with history, append its run."""
-        path = self._write(fingerprints(keyed(batch.where("doc_id IS NOT NULL")), self.window, self.gram))
-        new = self._read([path])
-        ends = new.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-        every = new
-        if self.runs:
-            history = self._read(self.runs)
-            every = new.unionByName(history)
-            past = history.groupBy("h").agg(F.min("t").alias("lo0"), F.max("t").alias("hi0"))
-            ends = ends.join(past, "h", "left").select("h", F.least("lo", "lo0").alias("lo"), F.greatest("hi", "hi0").alias("hi"))
-        self.hits.append(materialise(every.join(ends.where("lo < hi").select("h"), "h", "left_semi"), "hits"))
-        self.runs.append(path)
-        if len(self.runs) >= FANOUT:
-            self.compact()
-
-    def compact(self) -> None:
-        """Merge all runs into one; runs are never changed in place."""
-        self.runs = [self._write(self._read(self.runs).distinct())]
-
-    def verify(self, docs: DataFrame) -> DataFrame:
-        """``(doc_id, t, copy, starts)``: copies, and the windows seen in a smaller doc_id.
-
-        ``docs`` holds all ingested batches.  Rows that lose nothing are left out.
+    """An index in a folder that all executors share; opened again from its manifest where there is one."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT):
+        self.spark, self.path = spark, path or folder(spark, "index")
+        self.state = {"version": 0, "made": 0, "window": window, "gram": gram, "fanout": fanout, "buckets": parts(spark), "runs": {k: [] for k in KINDS}}
+        self.names: dict[str, str] = {}
+        self.merged: list[str] = []
+        try:
+            found = spark.read.text(f"{self.path}/manifest/*").collect()  # a line per ingest
+        except AnalysisException:
+            found = []
+        if found:
+            self.state = max((json.loads(r["value"]) for r in found), key=lambda m: m["version"])
+
+    def _commit(self) -> None:
+        self.state["version"] += 1
+        line = self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1)
+        line.write.text(f"{self.path}/manifest/{self.state['version']:06d}-{uuid.uuid4().hex}")
+
+    def _write(self, kind: str, rows: DataFrame) -> str:
+        """A new run: a sorted file per bucket."""
+        columns, by, order = KINDS[kind]
+        self.state["made"] += 1
+        run = f"{kind}-{self.state['made']:06d}-{uuid.uuid4().hex[:8]}"
+        name = f"gleanworks_{uuid.uuid4().hex}"
+        rows = rows.select(*[c.split()[0] for c in columns.split(", ")]).repartition(self.state["buckets"], *by)
+        rows.write.format("parquet").option("compression", "zstd").bucketBy(self.state["buckets"], *by).sortBy(*order).option("path", f"{self.path}/{run}").saveAsTable(name)
+        self.names[run] = name
+        return run
+
+    def _read(self, run: str) -> DataFrame:
+        """A run as a bucketed table; a join on its buckets' columns exchanges nothing of it."""
+        if run not in self.names:
+            columns, by, order = KINDS[run.split("-")[0]]
+            name = f"gleanworks_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({', '.join(by)}) SORTED BY ({', '.join(order)}) INTO {self.state['buckets']} BUCKETS LOCATION '{self.path}/{run}'")
+            self.names[run] = name
+        return self.spark.table(self.names[run])
+
+    def runs(self, kind: str) -> list[DataFrame]:
+        return [self._read(run) for _, run in self.state["runs"][kind]]
+
+    def _add(self, kind: str, run: str, level: int = 0) -> None:
+        """Name a run as current; a full level becomes one run of the next."""
+        held = self.state["runs"][kind]
+        held.append((level, run))
+        full = [r for at, r in held if at == level]
+        if len(full) >= self.state["fanout"]:
+            every = reduce(DataFrame.unionByName, [self._read(r) for r in full])
+            if kind == "windows":
+                every = every.groupBy("k1", "k2").agg(F.min("lo").alias("lo"))
+            elif kind != "texts":
+                every = every.distinct()
+            self.merged += full
+            self.state["runs"][kind] = [x for x in held if x[1] not in full]
+            self._add(kind, self._write(kind, every), level + 1)
+
+    def _sweep(self) -> None:
+        """Delete runs that the manifest no longer names; answers given before do not read them."""
+        for run in self.merged:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(run)}")
+            delete(self.spark, f"{self.path}/{run}")
+        self.merged.clear()
+
+    def close(self) -> None:
+        """Forget the tables' names in this session; the files and the manifest stay."""
+        for name in self.names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names.clear()
+
+    def ingest(self, batch: DataFrame) -> DataFrame:
+        """``(doc_id, t, copy, starts)`` of the batch: copies, and the windows seen in a smaller doc_id.
+
+        Rows that lose nothing are left out.  Adds the batch to the index.
         """
-        rows = keyed(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"))
-        texts = rows.groupBy("t", "t2").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n"))
-        copies = rows.select("doc_id", "t", "t2").join(texts.where("n > 1").select("t", "t2", "owner"), ["t", "t2"]).where("doc_id > owner").select("doc_id", "t").distinct()
-        hits = self.hits[0]
-        for more in self.hits[1:]:
-            hits = hits.unionByName(more)
-        wanted = hits.groupBy("t").agg(F.collect_set("h").alias("hs")).join(texts.select("t", "owner"), "t").select(F.col("owner").alias("doc_id"), "t", "hs")
-        found = materialise(_windows(rows.select("doc_id", "t", "text").join(wanted, ["doc_id", "t"]), self.window, self.gram), "windows")
-        first = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k1", "k2", "lo")
-        later = found.join(first, ["k1", "k2"]).where("doc_id > lo").groupBy("doc_id", "t").agg(F.collect_set("pos").alias("starts"))
+        with tidy(self.spark, ordered=True):
+            return self._ingest(keyed(batch.where("doc_id IS NOT NULL AND text IS NOT NULL")))
+
+    def _ingest(self, rows: DataFrame) -> DataFrame:
+        window, gram = self.state["window"], self.state["gram"]
+        # Texts of the batch and their smallest doc_ids, here and in history.
+        owners = rows.groupBy("t", "t2").agg(F.min("doc_id").alias("owner"))
+        for i, old in enumerate(self.runs("texts")):
+            owners = owners.join(old.select("t", "t2", F.col("owner").alias(f"o{i}")), ["t", "t2"], "left")
+        past = F.coalesce(*[F.col(f"o{i}") for i in range(len(self.runs("texts")))], F.lit(None).cast("long"))
+        owners = materialise(owners.select("t", "t2", "owner", past.alias("past")), "owners")
+        copies = rows.select("doc_id", "t", "t2").join(owners.withColumn("first", F.least("owner", "past")), ["t", "t2"]).where("doc_id > first").select("doc_id", "t").distinct()
+        fresh = rows.join(owners.where("past IS NULL").select("t", "t2", F.col("owner").alias("doc_id")), ["t", "t2", "doc_id"]).withColumnRenamed("doc_id", "owner")
+        texts = self._write("texts", fresh.dropDuplicates(["t", "t2"]))
+        prints = self._write("prints", fingerprints(self._read(texts), window, gram).withColumn("s", F.pmod("t", F.lit(SALTS)).cast("int")))
+        new = self._read(prints)
+        # Fingerprints of the batch that two texts share, and those of them that history holds or has opened.
+        ends = new.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+        heads = self._write("heads", ends)
+        both, flags = ends, {}
+        for kind in ("heads", "shared"):
+            flags[kind] = [F.lit(False)]
+            for i, run in enumerate(self.runs(kind)):
+                both = both.join(run.withColumn(f"{kind}{i}", F.lit(True)), "h", "left")
+                flags[kind].insert(0, F.col(f"{kind}{i}"))
+        shared = both.select("h", "lo", "hi", F.coalesce(*flags["heads"]).alias("old"), F.coalesce(*flags["shared"]).alias("opened"))
+        shared = materialise(shared.where("lo < hi OR old").drop("lo", "hi"), "shared")
+        salted = lambda hs: hs.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+        # Windows behind them: of the batch all, of history those not opened before.
+        found = materialise(_windows(self._read(texts), new.join(salted(shared), ["h", "s"], "left_semi"), window, gram), "found")
+        past_windows = []
+        wanted = salted(shared.where("old AND NOT opened"))
+        hits = [old.join(wanted, ["h", "s"], "left_semi") for old in self.runs("prints")]
+        if hits:
+            hits = materialise(reduce(DataFrame.unionByName, hits), "hits")
+            past_windows = [_windows(old, hits, window, gram).select("k1", "k2", "owner") for old in self.runs("texts")]
+        every = reduce(DataFrame.unionByName, [found.select("k1", "k2", "owner"), *past_windows])
+        windows = self._write("windows", every.groupBy("k1", "k2").agg(F.min("owner").alias("lo")))
+        # The first document of every window of the batch, over all runs.
+        first = found.groupBy("k1", "k2").agg(F.max("owner").alias("hi")).join(self._read(windows), ["k1", "k2"])
+        for i, old in enumerate(self.runs("windows")):
+            first = first.join(old.withColumnRenamed("lo", f"lo{i}"), ["k1", "k2"], "left")
+        least = F.least("lo", F.lit(2**63 - 1), *[F.col(f"lo{i}") for i in range(len(self.runs("windows")))])
+        first = materialise(first.select("k1", "k2", "hi", least.alias("lo")).where("lo < hi").drop("hi"), "first")
+        later = found.join(first, ["k1", "k2"]).where("owner > lo").groupBy("owner", "t").agg(F.collect_set("pos").alias("starts"))
         none = F.expr("cast(null as array<int>)")
-        return later.select("doc_id", "t", F.lit(False).alias("copy"), "starts").unionByName(copies.select("doc_id", "t", F.lit(True).alias("copy"), none.alias("starts")))
+        marks = later.select(F.col("owner").alias("doc_id"), "t", F.lit(False).alias("copy"), "starts").unionByName(copies.select("doc_id", "t", F.lit(True).alias("copy"), none.alias("starts")))
+        marks = materialise(marks, "marks")
+        opened_now = self._write("shared", shared.where("NOT opened").select("h"))
+        for kind, run in (("texts", texts), ("prints", prints), ("heads", heads), ("shared", opened_now), ("windows", windows)):
+            self._add(kind, run)
+        self._commit()
+        self._sweep()
+        discard(found, first, shared, owners, *([hits] if past_windows else []))
+        return marks
 
 
-def _windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``(k1, k2, doc_id, t, pos)`` of the windows whose fingerprint is among the row's ``hs``."""
+def _windows(texts: DataFrame, hits: DataFrame, window: int, gram: int) -> DataFrame:
+    """``(k1, k2, owner, t, pos)`` of the windows of ``texts`` whose fingerprints are among the text's in ``hits(h, t)``."""
+    wanted = hits.groupBy("t").agg(F.collect_set("h").alias("hs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,9 +249,9 @@ def _windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 k1 = hash_runs(words, window)[at].view(np.int64)
                 k2 = (hash_runs(hash_words(buf, starts, stops, seed=1), window)[at] >> np.uint64(33)).astype(np.int32)
                 ids, t = piece.column(0).to_numpy(), piece.column(1).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(ids[row]), pa.array(t[row]), pa.array((at - first[row]).astype(np.int32))], names=["k1", "k2", "doc_id", "t", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(ids[row]), pa.array(t[row]), pa.array((at - first[row]).astype(np.int32))], names=["k1", "k2", "owner", "t", "pos"])
 
-    return docs.select("doc_id", "t", "text", "hs").mapInArrow(run, "k1 long, k2 int, doc_id long, t long, pos int")
+    return texts.join(wanted, "t").select("owner", "t", "text", "hs").mapInArrow(run, "k1 long, k2 int, owner long, t long, pos int")
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -193,17 +290,20 @@ def remove(docs: DataFrame, found: DataFrame, window: int = WINDOW, with_text: b
 
 
 def deduplicate(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
-    """Feed ``docs`` to a new index in ``batches`` ranges of doc_id and remove what repeats."""
+    """Feed ``docs`` to a new index in ``batches`` ranges of doc_id and remove what repeats.
+
+    Null texts have no words, rows without doc_id are kept whole, an empty table gives an empty result.
+    """
     index = SubstringIndex(docs.sparkSession, window=window, gram=gram)
     lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     if lo is None:
-        edges = [None, None]
-    else:
-        edges = [lo + (hi + 1 - lo) * i // batches for i in range(batches)] + [hi + 1]
-    for a, z in zip(edges, edges[1:], strict=False):
-        index.ingest(docs.where((F.col("doc_id") >= a) & (F.col("doc_id") < z)) if a is not None else docs)
-    return remove(docs, index.verify(docs), window, with_text)
+        lo, hi, batches = 0, 0, 1
+    edges = [lo + (hi + 1 - lo) * i // batches for i in range(batches)] + [hi + 1]
+    marks = [index.ingest(docs.where((F.col("doc_id") >= a) & (F.col("doc_id") < z))) for a, z in zip(edges, edges[1:], strict=False) if a < z]
+    index.close()
+    return remove(docs, reduce(DataFrame.unionByName, marks) if marks else index.ingest(docs.where("false")), window, with_text)
 
 
 def op1_substring_index(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept_sha256)`` of every row; ``deduplicate``'s defined results hold."""
     return deduplicate(docs.select("doc_id", "text"), with_text=False)
