@@ -12,9 +12,11 @@ steps of growing cost, each of which provably keeps every link:
 3. sets that share one of their rarest shingles (the prefix for 85 %) are similar
    enough to be put into one group; linked sets always meet in a group;
 4. a group is a 0/1 matrix of its sets over the union of their shingles.  A large
-   group is cut into blocks; sets are first held against the group's leader, and
-   only those that it leaves unlinked query the blocks.  A query opens a block only
-   if its overlap with the block's union reaches 85 % of the query.
+   group is cut into blocks of similar sets, of bounded sets and shingles, and each
+   block's union is stored.  Sets are first held against the group's leader; those that
+   it leaves unlinked query the blocks: a block whose union holds none of the query's
+   prefix cannot reach 85 % of it and is never sent the query, and of the others a task
+   opens those whose union's overlap with the query reaches that share.
 
 Rows are exchanged as packed arrays or integers; no pair of documents is ever
 emitted before it is known to be linked, and links leave a task as a forest.
@@ -42,8 +44,10 @@ NGRAM = 4
 PERCENT = 85
 #: Sets of a group, or of a block of a larger one, that one task holds.
 BLOCK = 1024
-#: Ranges of shingle hashes per shuffle partition.
-RANGES = 4
+#: Shingles of a group or block that one task holds.
+TOKENS = 1_000_000
+#: Documents for each range of shingle hashes, and of sets, in step 1: what a task holds at once.
+RANGE_DOCS = 1024
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -144,37 +148,42 @@ def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
     return ((keys >> np.uint64(24)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
 
 
-def _credits(quarters: DataFrame, n_parts: int) -> DataFrame:
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    """The second and third column of each range's rows; rows come in order of their range."""
+    at, one, two = None, [], []
+    for batch in batches:
+        for r, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if r != at and two:
+                yield one, two
+                one, two = [], []
+            at = r
+            one.append(x)
+            two.append(y)
+    if two:
+        yield one, two
+
+
+def _credits(quarters: DataFrame, n_parts: int, ranges: int) -> DataFrame:
     """``(s48, credit)``: how many of a set's counted shingles another set holds.
 
-    Each range of hashes sends its counts on in one packed row per range of sets.
+    Each range of hashes sends its counts on in one packed row per range of sets.  A task
+    holds one range at a time, and their number grows with the documents.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[tuple[bytes, bytes]] = []
-        plain: list[bytes] = []
-        for batch in batches:
-            for tokens, sets in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if tokens:
-                    pairs.append((tokens, sets))
-                else:
-                    plain.append(sets)
-        credited = []
-        if pairs:
-            t, o = _unpack48([p[0] for p in pairs]), _unpack48([p[1] for p in pairs])
-            pairs.clear()
+        for tokens, sets in _by_range(batches):
+            credited = [_unpack48([o for t, o in zip(tokens, sets, strict=True) if not t])]
+            t, o = _unpack48(tokens), _unpack48([o for t, o in zip(tokens, sets, strict=True) if t])
             order = np.lexsort((o, t))
             t, o = t[order], o[order]
-            fresh = np.append(True, (t[1:] != t[:-1]) | (o[1:] != o[:-1]))
-            t, o = t[fresh], o[fresh]
-            twin = t[1:] == t[:-1]
-            credited.append(o[np.append(twin, False) | np.append(False, twin)])
-        if plain:
-            credited.append(_unpack48(plain))
-        if credited:
+            if len(t):
+                fresh = np.append(True, (t[1:] != t[:-1]) | (o[1:] != o[:-1]))
+                t, o = t[fresh], o[fresh]
+                twin = t[1:] == t[:-1]
+                credited.append(o[np.append(twin, False) | np.append(False, twin)])
             s, c = np.unique(np.concatenate(credited), return_counts=True)
             if len(s):
-                at = _ranges(s, n_parts)
+                at = _ranges(s, ranges)
                 cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
                 ends = np.append(cuts[1:], len(s))
                 yield pa.RecordBatch.from_arrays(
@@ -183,19 +192,14 @@ def _credits(quarters: DataFrame, n_parts: int) -> DataFrame:
                 )
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: list[bytes] = []
-        counts: list[bytes] = []
-        for batch in batches:
-            sets += batch.column(1).to_pylist()
-            counts += batch.column(2).to_pylist()
-        if sets:
+        for sets, counts in _by_range(batches):
             s, inverse = np.unique(_unpack48(sets), return_inverse=True)
             c = np.bincount(inverse, weights=np.frombuffer(b"".join(counts), "<u4"))
             yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), pa.array(c.astype(np.int64))], names=["s48", "credit"])
 
-    dealt = quarters.repartition(n_parts, "range").select("range", "tokens", "sets")
-    packed = dealt.mapInArrow(count, "range int, sets binary, counts binary")
-    return packed.repartition(n_parts, "range").mapInArrow(total, "s48 long, credit long")
+    dealt = lambda rows: rows.repartition(n_parts, "range").sortWithinPartitions("range")
+    packed = dealt(quarters.select("range", "tokens", "sets")).mapInArrow(count, "range int, sets binary, counts binary")
+    return dealt(packed).mapInArrow(total, "s48 long, credit long")
 
 
 def _sets(docs: DataFrame, ngram: int) -> DataFrame:
@@ -307,29 +311,38 @@ def links(sets: DataFrame, prefix: DataFrame, percent: int = PERCENT, block: int
     n_parts = parts(sets.sparkSession)
     heads = prefix.groupBy("h").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("hi")).where("b < hi").select("h", "b")
     groups = min_components(prefix.join(heads, "h").select(F.col("doc_id").alias("a"), "b").distinct()).select(F.col("vertex").alias("doc_id"), F.col("component").alias("g"))
-    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = groups.join(sets.select("doc_id", "n"), "doc_id").groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("held")).where("size > 1")
+    sizes = sizes.select("g", "size", (F.ceil(F.greatest(F.col("size") / block, F.col("held") / TOKENS))).cast("int").alias("blocks"))
     grouped = materialise(sets.join(groups, "doc_id").join(sizes, "g"), "groups")
-    small = grouped.where(F.col("size") <= block).select(F.concat_ws(":", "g").alias("task"), "doc_id", "n", "tokens", F.lit(True).alias("q"), F.lit(True).alias("m"))
+    small = grouped.where("blocks = 1").select(F.concat_ws(":", "g").alias("task"), "doc_id", "n", "tokens", F.lit(True).alias("q"), F.lit(True).alias("m"))
     found = _opened(small, percent, n_parts)
-    if not grouped.where(F.col("size") > block).limit(1).count():
+    large = grouped.where("blocks > 1")
+    if not large.limit(1).count():
         return found
-    large = grouped.where(F.col("size") > block)
     # The leader of a large group is the set with most shingles that the group shares widely.
-    wide = large.select("g", "size", F.explode("tokens").alias("h")).groupBy("g", "h").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size")).where("2 * c >= size").select("g", "h")
-    exploded = large.select("g", "doc_id", "n", F.explode("tokens").alias("h"))
+    exploded = large.select("g", "size", "doc_id", "n", F.explode("tokens").alias("h"))
+    # Written out, so that the joins with them can split a hot shingle of a group.
+    wide = materialise(exploded.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size")).where("2 * c >= size").select("g", "h"), "wide")
     centre = exploded.join(wide, ["g", "h"]).groupBy("g", "doc_id", "n").agg(F.count(F.lit(1)).alias("w"))
     leaders = centre.groupBy("g").agg(F.max_by("doc_id", F.struct(F.col("w") / F.col("n"), -F.col("doc_id"))).alias("leader"))
-    named = leaders.withColumn("doc_id", F.col("leader"))
-    core = exploded.join(named, ["g", "doc_id"]).select("g", "leader", F.col("n").alias("n0"), "h")
+    leaders = materialise(leaders, "leaders")
+    core = materialise(large.join(leaders.withColumn("doc_id", F.col("leader")), ["g", "doc_id"]).select("g", "leader", F.col("n").alias("n0"), F.explode("tokens").alias("h")), "core")
     near = exploded.join(core, ["g", "h"]).groupBy("g", "doc_id", "n", "leader", "n0").agg(F.count(F.lit(1)).alias("c")).where(f"doc_id <> leader AND 100 * c >= {percent} * (n + n0 - c)")
-    joined = near.select("doc_id", "leader").checkpoint()
+    joined = materialise(near.select("doc_id", "leader"), "joined")
     rest = large.join(joined, "doc_id", "left_anti").join(leaders.select(F.col("leader").alias("doc_id")), "doc_id", "left_anti")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    pending = rest.groupBy("g").agg(F.count(F.lit(1)).alias("u")).select("g", F.ceil(F.col("u") / block).cast("int").alias("qs"))
-    asking = rest.join(pending, "g").select("g", "doc_id", "n", "tokens", F.pmod(F.hash("doc_id"), "qs").alias("qb"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("mb"), F.lit(True).alias("q"))
-    asked = large.join(pending, "g").select("g", "doc_id", "n", "tokens", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), F.pmod(F.hash("doc_id"), blocks).alias("mb"), F.lit(False).alias("q"))
-    every = asking.select("*", F.lit(False).alias("m")).unionByName(asked.select("*", F.lit(True).alias("m")))
-    return found.unionByName(joined.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))).unionByName(_opened(every.withColumn("task", F.concat_ws(":", "g", "qb", "mb")), percent, n_parts))
+    # Blocks of similar sets: those with the same smallest prefix shingle meet; crowded ones are cut.
+    key = prefix.groupBy("doc_id").agg(F.min("h").alias("key"))
+    keyed = large.join(key, "doc_id").withColumn("bucket", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    cuts = keyed.groupBy("g", "bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / TOKENS)).cast("int").alias("cuts"))
+    name = F.concat_ws(":", "g", "bucket", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("string"))
+    members = materialise(keyed.join(cuts, ["g", "bucket"]).select(name.alias("block"), "g", "doc_id", "n", "tokens"), "blocks")
+    union = materialise(members.select("g", "block", F.explode("tokens").alias("h")).distinct(), "unions")
+    asks = materialise(rest.select("g", "doc_id", "n").join(prefix, "doc_id").join(union, ["g", "h"]).select("block", "doc_id", "n").distinct(), "asks")
+    rounds = asks.groupBy("block").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / TOKENS)).cast("int").alias("rounds"))
+    asking = asks.join(rounds, "block").withColumn("r", F.pmod(F.xxhash64("doc_id"), F.col("rounds")).cast("int")).select("block", "doc_id", "r").join(rest.select("doc_id", "n", "tokens"), "doc_id")
+    asked = members.join(rounds, "block").withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
+    row = lambda rows, q: rows.select(F.concat_ws(":", "block", F.col("r").cast("string")).alias("task"), "doc_id", "n", "tokens", F.lit(q).alias("q"), F.lit(not q).alias("m"))
+    return found.unionByName(joined.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))).unionByName(_opened(row(asking, True).unionByName(row(asked, False)), percent, n_parts))
 
 
 def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -351,7 +364,8 @@ def _components(docs: DataFrame, ngram: int, percent: int, block: int) -> DataFr
     if shared_ids:
         firsts = owners.groupBy("owner").agg(F.min(F.struct("n", "s1", "s2")).alias("first"))
         owners = owners.join(firsts, "owner").withColumn("v", F.when(F.struct("n", "s1", "s2") == F.col("first"), F.col("owner")).otherwise(F.xxhash64("n", "s1", "s2"))).drop("first")
-    credit = _credits(_quarters(texts, ngram, percent, RANGES * n_parts), n_parts)
+    ranges = max(n_parts, -(-info.count() // RANGE_DOCS))
+    credit = _credits(_quarters(texts, ngram, percent, ranges), n_parts, ranges)
     least = F.greatest(F.lit(1), F.floor(F.floor((percent * F.col("n") + 99) / 100) / 10))
     alive = owners.withColumn("s48", F.col("s1").bitwiseAND(F.lit((1 << 48) - 1))).join(credit, "s48").where(F.col("credit") >= least).select("owner", "v", "n", "s1", "s2")
     if shared_ids:
@@ -383,4 +397,5 @@ def _components(docs: DataFrame, ngram: int, percent: int, block: int) -> DataFr
 
 
 def op10_token_groups(docs: DataFrame) -> DataFrame:
+    """``jaccard_components`` of 4-word shingles at 85 %; the module's defined results hold."""
     return jaccard_components(docs)
