@@ -103,25 +103,50 @@ def parse_html(html: str) -> list[tuple]:
 _ITEM = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
 
 
-def sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """``(key, items)``: each page's ordered ``array<struct<pos, kind, text, ref, caption>>``."""
-    source = pages.select(key, F.col(html).cast("string").alias("html"))
-    kind = dict(source.dtypes)[key]
+def sequences(pages: DataFrame, key: str, html: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, *carry, items)``: each page's ordered ``array<struct<pos, kind, text, ref, caption>>``.
+
+    A null page is an empty one and has no items; repeated keys are each answered.
+    """
+    source = pages.select(key, F.col(html).cast("string").alias("html"), *carry)
+    kinds = dict(source.dtypes)
+    names = [key, *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[dict(zip(("pos", "kind", "text", "ref", "caption"), (i, *item), strict=True)) for i, item in enumerate(parse_html(h or ""))] for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(_ITEM))], names=[key, "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(rows, pa.list_(_ITEM))], names=[*names, "items"])
 
-    return source.mapInArrow(run, f"{key} {kind}, items array<struct<pos:int,kind:string,text:string,ref:string,caption:string>>")
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in names)
+    return source.mapInArrow(run, f"{fields}, items array<struct<pos:int,kind:string,text:string,ref:string,caption:string>>")
 
 
-def resolve(seqs: DataFrame, key: str, store: DataFrame) -> DataFrame:
-    """One row per media reference ``digest:<sha256>``: ``(key, pos, caption, digest)`` and the store's columns."""
-    refs = seqs.select(key, F.explode("items").alias("i")).where("i.kind = 'media'").select(key, "i.pos", "i.caption", F.regexp_extract("i.ref", "^digest:([0-9a-f]{64})$", 1).alias("digest"))
+def resolve(seqs: DataFrame, key: str, store: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per media reference ``digest:<sha256>``: ``(key, *carry, pos, caption, digest)`` and the store's columns."""
+    media = F.filter("items", lambda i: i["kind"] == "media")
+    refs = seqs.select(key, *carry, F.explode(media).alias("i")).select(key, *carry, "i.pos", "i.caption", F.regexp_extract("i.ref", "^digest:([0-9a-f]{64})$", 1).alias("digest"))
     return refs.join(store, "digest", "left")
 
 
+def interleave(seqs: DataFrame, key: str, store: DataFrame) -> DataFrame:
+    """``(key, items)`` with every media item's ``media_bytes`` and ``feature`` beside its caption, at its position.
+
+    Items keep their order; a reference without a stored payload keeps nulls.  Texts stay
+    where they are: only digests and what is known of their payloads are exchanged, and
+    pages that share a key are matched by a hash of their items too.
+    """
+    pages = seqs.select(key, "items", F.xxhash64("items").alias("_page"))
+    known = resolve(pages, key, store.select("digest", "media_bytes", "feature"), ("_page",))
+    held = known.groupBy(F.col(key).alias("_key"), F.col("_page").alias("_p")).agg(F.collect_set(F.struct("pos", "media_bytes", "feature")).alias("_m"))
+    both = pages.join(held, pages[key].eqNullSafe(F.col("_key")) & (F.col("_page") == F.col("_p")), "left")
+
+    def item(i: Column) -> Column:
+        found = F.get(F.filter("_m", lambda m: m["pos"] == i["pos"]), 0)
+        return F.struct(i["pos"].alias("pos"), i["kind"].alias("kind"), i["text"].alias("text"), i["ref"].alias("ref"), i["caption"].alias("caption"), found["media_bytes"].alias("media_bytes"), found["feature"].alias("feature"))
+
+    return both.select(key, F.transform("items", item).alias("items"))
+
+
 def pad(payload: bytes) -> bytes:
     """The payload with zero bytes up to a positive multiple of ``ROW``."""
     return payload + b"\0" * ((-len(payload)) % ROW if payload else ROW)
@@ -196,11 +221,24 @@ def _digest(text: Column) -> Column:
     return F.sha2(F.concat(data, F.unhex(F.repeat(F.lit("00"), zeros))), 256)
 
 
+def page_of(text: Column, digest: Column, caption: Column) -> Column:
+    """A text as HTML: a paragraph a line, and its payload's figure after the first of them."""
+    safe = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    figure = F.concat(F.lit('</p><figure><img src="digest:'), digest, F.lit('" alt="payload"><figcaption>'), caption, F.lit("</figcaption></figure><p>"))
+    first = F.substring_index(safe, "\n", 1)
+    rest = F.substr(safe, F.length(first) + 2)
+    return F.concat(F.lit("<article><p>"), first, figure, F.replace(rest, F.lit("\n"), F.lit("</p><p>")), F.lit("</p></article>"))
+
+
 def op4_media_sequences(docs: DataFrame) -> DataFrame:
-    """Each document as a page with one figure: parse, resolve by digest, report what was read back."""
-    page = F.concat(F.lit('<article><figure><img src="digest:'), _digest(F.col("text")), F.lit('" alt="document"><figcaption>'), F.coalesce(F.octet_length("text"), F.lit(0)).cast("string"), F.lit("</figcaption></figure></article>"))
-    pages = docs.select(F.col("doc_id").cast("long").alias("doc_id"), page.alias("html"))
+    """Each document as a page of its paragraphs and a figure: parse, resolve by digest, report what was read back.
+
+    A null text is an empty payload, repeated rows and null ids are each answered, extra
+    columns are ignored, an empty table gives an empty result.
+    """
+    n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    pages = docs.select(F.col("doc_id").cast("long").alias("doc_id"), page_of(F.col("text"), _digest(F.col("text")), F.lit("the text's bytes")).alias("html"), n.alias("n_bytes"))
     # The description of a payload is small; written once, either side of the join can be split.
     found = materialise(described(media_store(docs)), "described")
-    out = resolve(sequences(pages, "doc_id"), "doc_id", found)
-    return out.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    out = resolve(sequences(pages, "doc_id", carry=("n_bytes",)), "doc_id", found, ("n_bytes",))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
