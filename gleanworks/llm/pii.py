@@ -4,16 +4,20 @@ Labelers vote on candidate spans; expectation-maximisation over the (bounded)
 table of vote patterns estimates each labeler's reliability without gold labels,
 and its posteriors train a naive-Bayes span classifier over surface features.
 
-* regex labelers: four base patterns (email, ip, card, phone) with their
-  validity checks (octet range, Luhn, digit counts), plus a secret-token pattern;
+* regex labelers: four base patterns (email, ip, card, phone) with their validity
+  checks (octet range, Luhn, digit counts), and patterns for secret tokens, bank
+  accounts (IBAN check digits), national ids, names after a title and street addresses;
 * gazetteer labelers: reserved or well known mail domains, card issuer prefixes,
-  national dialling prefixes and private address ranges;
-* context labelers: cue words or a key/value sign shortly before the span, and
-  clean (non-word) borders on both sides.
+  national dialling prefixes, unusable address ranges, IBAN countries, first names,
+  usual street names and names of secrets;
+* context labelers: cue words shortly before the span, and clean (non-word) borders on
+  both sides.
 
-Valid base spans are always kept.  Matches that fail their validity check, and
-secret tokens, are only reported if the classifier accepts them, under the kinds
-``number`` and ``secret``, so base counts never change.
+Valid base spans are always kept.  All other candidates are only reported if the
+classifier accepts them and their check or a cue supports them: base matches that fail
+their check under the kind ``number``, the others under their own.  So base counts never
+change.  The label model needs no gold labels and is fitted on the table that it labels;
+a model of another table can be given.
 
 Defined results: null text counts as empty and yields no spans; a null doc_id is
 kept as it is; duplicate rows are each reported; other columns are ignored; an
@@ -36,16 +40,41 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"[A-Za-z_]{3,20}\x20?[=:]\x20?[\x22'][A-Za-z0-9+/_-]{16,128}[\x22']",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra)\.?\x20\p{Lu}[\p{L}'-]{1,30}(?:\x20\p{Lu}[\p{L}'-]{1,30})?",
+    "address": r"(?<![0-9])[0-9]{1,5}\x20(?:\p{Lu}[\p{L}'-]{1,30}\x20){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd)\b|(?<![\p{L}])\p{Lu}\p{L}{1,30}(?:straße|strasse|weg|platz|gasse|allee)\x20[0-9]{1,4}\b|(?<![\p{L}])(?:rue|avenue|boulevard|calle|avenida|plaza)\x20[\p{L}'\x20-]{3,40}\x20[0-9]{1,4}\b",
 }
 BASE = ("email", "ip", "card", "phone")
+#: Order of all kinds that are reported.
+KINDS = (*BASE, "number", "secret", "iban", "national", "name", "address")
 _MAY_HOLD = {"email": "@", "phone": "+"}
-_MAY_MATCH = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "secret": r"[=:]\x20?[\x22']"}
+_MAY_MATCH = {
+    "ip": r"[0-9]\.[0-9]",
+    "card": r"[0-9][\x20-]?[0-9]",
+    "secret": r"[=:]\x20?[\x22']",
+    "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}",
+    "national": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "name": r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra)\.?\x20\p{Lu}",
+    "address": r"(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd)\b|(?:straße|strasse|weg|platz|gasse|allee)\x20[0-9]|(?:rue|avenue|boulevard|calle|avenida|plaza)\x20",
+}
 
 # Gazetteers and cue words of the labelers.
-MAIL_DOMAINS = ("example.com", "example.org", "example.net", "gmail.com", "outlook.com", "yahoo.com", "proton.me")
-CARD_PREFIXES = ("2", "3", "4", "5", "6")
-DIAL_PREFIXES = ("+1", "+33", "+34", "+44", "+49")
-CUES = r"(?i)(mail|e-mail|contact|kontakt|correo|courriel|phone|tel|fax|call|card|visa|iban|account|konto|cuenta|compte|ip|host|server|token|key|secret|password|passwort)[^A-Za-z]{0,4}$"
+MAIL_DOMAINS = ("example.com", "example.org", "example.net", "gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "live.com", "yahoo.com", "icloud.com", "proton.me", "protonmail.com", "gmx.de", "gmx.net", "web.de", "t-online.de", "orange.fr", "free.fr", "wanadoo.fr", "laposte.net", "telefonica.net", "terra.es", "aol.com", "mail.com")
+CARD_PREFIXES = ("2", "30", "34", "35", "36", "37", "38", "4", "5", "6")
+DIAL_PREFIXES = ("+1", "+20", "+27", "+30", "+31", "+32", "+33", "+34", "+36", "+39", "+40", "+41", "+43", "+44", "+45", "+46", "+47", "+48", "+49", "+51", "+52", "+54", "+55", "+56", "+57", "+58", "+60", "+61", "+62", "+63", "+64", "+65", "+66", "+7", "+81", "+82", "+84", "+86", "+90", "+91", "+92", "+351", "+352", "+353", "+358", "+420")
+IBAN_COUNTRIES = ("AD", "AE", "AT", "BE", "BG", "CH", "CY", "CZ", "DE", "DK", "EE", "ES", "FI", "FR", "GB", "GR", "HR", "HU", "IE", "IL", "IS", "IT", "LI", "LT", "LU", "LV", "MC", "MT", "NL", "NO", "PL", "PT", "RO", "SA", "SE", "SI", "SK", "SM", "TR")
+FIRST_NAMES = (
+    "James", "Mary", "Robert", "Patricia", "John", "Jennifer", "Michael", "Linda", "David", "Elizabeth", "William", "Barbara", "Richard", "Susan", "Joseph", "Jessica", "Thomas", "Sarah", "Charles", "Karen", "Peter", "Paul", "Anna", "Emma", "Laura",
+    "Hans", "Klaus", "Jürgen", "Wolfgang", "Ursula", "Monika", "Petra", "Sabine", "Stefan", "Andreas", "Heike", "Claudia", "Martin", "Jean", "Pierre", "Michel", "Marie", "Jacques", "Nathalie", "Isabelle", "Sylvie", "Philippe", "Nicolas", "Camille",
+    "Antonio", "José", "Manuel", "Francisco", "Juan", "Carmen", "María", "Josefa", "Isabel", "Dolores", "Javier", "Carlos", "Miguel", "Lucía", "Pablo",
+)
+STREETS = ("Main", "High", "Church", "Park", "Oak", "Elm", "Maple", "Station", "Mill", "School", "Victoria", "King", "Queen", "Washington", "Haupt", "Bahnhof", "Garten", "Schul", "Dorf", "Berg", "Kirch", "Linden", "Goethe", "Schiller", "République", "Gare", "Paix", "Victor", "Église", "Mayor", "Real", "Gran", "Sol", "España", "Constitución")
+SECRETS = ("token", "key", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key", "auth", "auth_token", "client_secret", "bearer", "credential", "private_key")
+CUES = (
+    r"(?i)(mail|e-mail|correo|courriel|contact|kontakt|phone|tel|telefon|teléfono|téléphone|mobile|handy|fax|call|card|karte|tarjeta|carte|visa|mastercard|iban|account|konto|cuenta|compte|bank|ip|host|server|address|adresse|dirección|wohnhaft|"
+    r"token|key|secret|password|passwort|contraseña|ssn|social security|ausweis|dni|name|nombre|nom|signed|patient|customer|kunde|cliente|client)[^A-Za-z]{0,4}$"
+)
 
 #: Labelers in vote order; every vote is 0 or 1.
 LABELERS = ("valid", "gazetteer", "cue", "borders", "shape")
@@ -67,6 +96,14 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(codes, weigh), F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
+def _mod97(value: Column) -> Column:
+    """The remainder that an IBAN's check digits make 1."""
+    plain = F.regexp_replace(value, "\x20", "")
+    moved = F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4))
+    codes = F.transform(F.split(moved, "(?!^)(?!$)"), lambda c: F.coalesce(c.try_cast("int"), F.ascii(c) - 55))
+    return F.aggregate(codes, F.lit(0), lambda a, d: (a * F.when(d > 9, 100).otherwise(10) + d) % 97)
+
+
 def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(m, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.coalesce(F.substring(F.regexp_replace(p, "^0+", ""), 1, 3).try_cast("int"), F.lit(0)) <= 255))
@@ -75,19 +112,37 @@ def _valid(kind: str, m: Column) -> Column:
         return F.when(n.between(14, 19), _luhn(_digits(m))).otherwise(False)
     if kind == "phone":
         return F.length(_digits(m)).between(10, 15)
+    if kind == "iban":
+        return F.length(F.regexp_replace(m, "\x20", "")).between(15, 34) & (_mod97(m) == 1)
+    if kind == "national":
+        return ~m.rlike("^(000|666|9)|-00-|-0000$")
+    if kind == "name":
+        return m.rlike(r"\x20\p{Lu}\S+\x20\p{Lu}")
     return F.lit(True)
 
 
+def _listed(words: tuple[str, ...]) -> str:
+    return "(" + "|".join(w.replace(".", r"\.").replace("+", r"\+") for w in words) + ")"
+
+
 def _gazetteer(kind: str, m: Column) -> Column:
     if kind == "email":
-        return F.lower(m).rlike("(" + "|".join(d.replace(".", r"\.") for d in MAIL_DOMAINS) + ")$")
+        return F.lower(m).rlike(f"[@.]{_listed(MAIL_DOMAINS)}$")
     if kind == "card":
-        return F.substring(m, 1, 1).isin(*CARD_PREFIXES)
+        return m.rlike(f"^{_listed(CARD_PREFIXES)}")
     if kind == "phone":
-        return m.rlike("^(" + "|".join(p.replace("+", r"\+") for p in DIAL_PREFIXES) + ")([^0-9]|$)")
+        return m.rlike(f"^{_listed(DIAL_PREFIXES)}([^0-9]|[0-9]{{4,}}$)")
     if kind == "ip":
         return ~m.rlike(r"^(0+|255)\.")
-    return m.rlike(r"(?i)^(token|key|secret|password|api_key|apikey)\b")
+    if kind == "iban":
+        return F.substring(m, 1, 2).isin(*IBAN_COUNTRIES)
+    if kind == "national":
+        return ~m.rlike("^[789]")
+    if kind == "name":
+        return m.rlike(rf"\x20{_listed(FIRST_NAMES)}(\x20|$)")
+    if kind == "address":
+        return m.rlike(_listed(STREETS))
+    return m.rlike(rf"(?i)^{_listed(SECRETS)}\x20?[=:]")
 
 
 def _shape(kind: str, m: Column) -> Column:
@@ -100,7 +155,13 @@ def _shape(kind: str, m: Column) -> Column:
         return F.length(_digits(m)).isin(15, 16)
     if kind == "phone":
         return m.rlike(r"^\+[0-9]{1,3}[\x20(.-]")
-    return m.rlike(r"[0-9]") & m.rlike(r"[a-z]")
+    if kind == "iban":
+        return F.length(F.regexp_replace(m, "\x20", "")).between(15, 31)
+    if kind == "name":
+        return F.length(m).between(6, 50)
+    if kind in ("address", "national"):
+        return F.length(m).between(8, 60)
+    return m.rlike(r"[0-9]") & m.rlike(r"[A-Za-z]")
 
 
 _SPANS = "cast(array() as array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>)"
@@ -223,21 +284,21 @@ def find_pii(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """``(doc_id, base, extra)``: valid base spans, and the spans that the trained classifier adds.
 
     Both are ``array<struct<kind, start, end, value>>`` ordered by start, then kind
-    as in ``BASE``.  Spans of a row are scored inside the row (no shuffle); the only
+    as in ``KINDS``.  Spans of a row are scored inside the row (no shuffle); the only
     exchange is the bounded table of vote patterns that trains the model.
     """
     rows = candidates(docs)
     if model is None:
         model = train(rows)
     votes = rows.withColumn("spans", F.transform("spans", lambda s: _judged(s, model)))
-    order = F.array(*[F.lit(k) for k in (*BASE, "number", "secret")])
+    order = F.array(*[F.lit(k) for k in KINDS])
 
     def ordered(keep, rename) -> Column:
         kept = F.transform(F.filter("spans", keep), lambda s: F.struct(s["start"].alias("start"), F.array_position(order, rename(s)).alias("rank"), s["end"].alias("end"), rename(s).alias("kind"), s["value"].alias("value")))
         return F.transform(F.array_sort(kept), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
-    base = ordered(lambda s: s["valid"] & (s["kind"] != "secret"), lambda s: s["kind"])
-    extra = ordered(lambda s: s["accepted"] & (~s["valid"] | (s["kind"] == "secret")), lambda s: F.when(s["kind"] == "secret", s["kind"]).otherwise(F.lit("number")))
+    base = ordered(lambda s: s["valid"] & s["kind"].isin(*BASE), lambda s: s["kind"])
+    extra = ordered(lambda s: s["accepted"] & ~(s["valid"] & s["kind"].isin(*BASE)), lambda s: F.when(s["kind"].isin(*BASE), F.lit("number")).otherwise(s["kind"]))
     return votes.select("doc_id", base.alias("base"), extra.alias("extra"))
 
 
@@ -253,7 +314,7 @@ def _judged(s: Column, model: dict) -> Column:
         if shapes:
             total = total + F.coalesce(F.create_map(*[x for f, w in shapes.items() for x in (F.lit(f), F.lit(w))])[_features(s)], F.lit(0.0))
         logit = F.when(kind == k, total).otherwise(logit)
-    return F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), votes["valid"].alias("valid"), (logit > 0).alias("accepted"))
+    return F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), votes["valid"].alias("valid"), ((logit > 0) & (votes["valid"] | votes["cue"])).alias("accepted"))
 
 
 def joined(spans: Column) -> Column:
@@ -261,9 +322,14 @@ def joined(spans: Column) -> Column:
 
 
 def op7_weak_pii(docs: DataFrame) -> DataFrame:
-    """The contract's digest columns, from ``find_pii``'s spans."""
+    """The contract's digest columns from ``find_pii``'s spans, and ``n_extra`` and ``n_spans``, the added ones and all.
+
+    A null text is empty and has no spans, a null doc_id is kept, repeated rows are each
+    reported, other columns are ignored, an empty table gives an empty result.
+    """
     found = find_pii(docs)
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE]
-    order = F.array(*[F.lit(k) for k in (*BASE, "number", "secret")])
+    more = [F.size("extra").cast("long").alias("n_extra"), (F.size("base") + F.size("extra")).cast("long").alias("n_spans")]
+    order = F.array(*[F.lit(k) for k in KINDS])
     every = F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(every)).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(every)).alias("spans"), *more)
