@@ -49,6 +49,24 @@ def test_components_match_brute_force(spark, docs_of, block):
     assert got == brute(rows)
 
 
+def test_blocks_hold_bounded_rows_of_a_percolating_group(spark, docs_of, monkeypatch):
+    """A chain of documents that share rare passages is one group; queries reach only blocks that share their prefix, and rows grow with the chain."""
+    sent = []
+    opened = jaccard._opened
+    monkeypatch.setattr(jaccard, "_opened", lambda tasks, *a: (sent.append(tasks.where("q AND NOT m").count()), opened(tasks, *a))[1])
+    for size in (100, 200):
+        rng = random.Random(size)
+        texts, last = [], [f"p{rng.randrange(10**6)}" for _ in range(12)]
+        for k in range(size):
+            own = [f"u{k}_{i}" for i in range(60)]
+            tail = [f"t{k}_{i}" for i in range(12)]
+            texts += [" ".join(last + own + tail), " ".join(last + own + tail + ["x"])]
+            last = tail
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(texts), block=16).collect()}
+        assert got == brute(list(enumerate(texts)))
+    assert sent[-1] <= 2.5 * max(1, sent[1])
+
+
 def test_edge_rows(spark, docs_of):
     long = " ".join(str(i) for i in range(30_000))
     docs = docs_of(["a b c d e", "a b c d e", long, long + " z"], ids=[5, None, 7, 9])
