@@ -6,11 +6,14 @@ paths and returns a lazy DataFrame, so pruning and filters reach the scan.
 
 from __future__ import annotations
 
+import ast
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import HEADERS, answers_udf, base_id, claims_udf, clip_to, iob_tags, overlap_labels, sentence_index, spans_udf
+from ..functions.text import HEADERS, answers_udf, base_id, claims_udf, clip_to, corrected_udf, iob_tags, note_spans_udf, overlap_labels, sentence_index, spans_udf
 
 PERSPECTIVES = ("CAUSE", "EXPERIENCE", "INFORMATION", "QUESTION", "SUGGESTION")
 MULTI_INTENT = {"puma", "subsume", "evidence_inference", "contractnli"}
@@ -114,7 +117,33 @@ def evidence_inference(annotations: DataFrame, articles: DataFrame) -> DataFrame
 
 def evidence_annotations(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, header=True)
-    return raw.select(F.col("PMCID").try_cast("long").alias("PMCID"), F.col("UserID").try_cast("long").alias("UserID"), F.col("Evidence Start").try_cast("int").alias("start"), F.col("Evidence End").try_cast("int").alias("end"))
+    more = [F.col(c).try_cast("long").alias(c) for c in ("PromptID",) if c in raw.columns] + [F.col(c) for c in ("Label",) if c in raw.columns]
+    return raw.select(F.col("PMCID").try_cast("long").alias("PMCID"), F.col("UserID").try_cast("long").alias("UserID"), F.col("Evidence Start").try_cast("int").alias("start"), F.col("Evidence End").try_cast("int").alias("end"), *more)
+
+
+def evidence_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """``(PromptID, PMCID, Outcome, Intervention, Comparator)`` of the prompts file."""
+    raw = spark.read.csv(path, header=True, multiLine=True)
+    return raw.select(F.col("PromptID").try_cast("long").alias("PromptID"), F.col("PMCID").try_cast("long").alias("PMCID"), *[F.col(c) for c in ("Outcome", "Intervention", "Comparator")])
+
+
+def evidence_splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """``(PromptID, split)`` from files with a prompt's id a line."""
+    out = None
+    for split, path in sorted(paths.items()):
+        part = spark.read.text(path).select(F.trim("value").try_cast("long").alias("PromptID"), F.lit(split).alias("split")).where("PromptID IS NOT NULL")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def evidence_inference_raw(annotations: DataFrame, prompts: DataFrame | None = None, splits: DataFrame | None = None) -> DataFrame:
+    """Annotations beside the prompt they answer and its split, where these are given."""
+    out = annotations
+    if prompts is not None:
+        out = out.join(prompts.drop("PMCID"), "PromptID", "left")
+    if splits is not None:
+        out = out.join(splits.dropDuplicates(["PromptID"]), "PromptID", "left")
+    return out
 
 
 def articles(spark: SparkSession, path: str) -> DataFrame:
@@ -149,19 +178,46 @@ def physionet_annotations(spark: SparkSession, path: str) -> DataFrame:
     return raw.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct(F.col("begin").alias("start"), (F.col("begin") + F.col("length")).alias("end"), "type"))).alias("annotations"))
 
 
+def physionet_corrections(spark: SparkSession, path: str) -> DataFrame:
+    """``(record_id, corrections)`` from lines ``{'id': ..., 'correction': ...}``, in the order of the file."""
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "line")).where("trim(line) <> ''")
+
+    @F.pandas_udf("record_id string, correction string")
+    def read(lines: pd.Series) -> pd.DataFrame:
+        entries = [ast.literal_eval(line) for line in lines]
+        return pd.DataFrame([(str(e["id"]), str(e["correction"])) for e in entries], columns=["record_id", "correction"])
+
+    rows = raw.select("i", read("line").alias("c")).select("i", "c.*")
+    return rows.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("i", "correction"))).alias("c")).select("record_id", F.col("c.correction").alias("corrections"))
+
+
+def apply_corrections(sentences: DataFrame, corrections: DataFrame | None) -> DataFrame:
+    """``sentences`` with the tags of corrected token sequences overwritten; corrections name sentences by record_id."""
+    if corrections is None:
+        return sentences
+    both = sentences.join(corrections, "record_id", "left")
+    return both.select("record_id", "tokens", corrected_udf("tokens", "ner_tags", "corrections").alias("ner_tags"))
+
+
+def physionet(spark: SparkSession, records: str, annotations: str, corrections: str | None = None, most: int = 100, least: int = 3) -> DataFrame:
+    """The whole corpus as documents of claims: records, annotations and corrections to sentences, claims, documents."""
+    sentences = physionet_sentences(physionet_records(spark, records), physionet_annotations(spark, annotations))
+    fixed = apply_corrections(sentences, physionet_corrections(spark, corrections) if corrections else None)
+    return claims_to_documents(sentences_to_claims(fixed, most, least))
+
+
 def physionet_sentences(records: DataFrame, annotations: DataFrame, shift: int = 1) -> DataFrame:
     """``(record_id, tokens, ner_tags)``: a row per sentence, annotations clipped to it and re-based.
 
-    Annotation offsets are moved by ``shift``, as the corpus counts them.
+    Sentences of more than 150 tokens are cut further.  Annotation offsets are moved by
+    ``shift``, as the corpus counts them.
     """
     both = records.join(annotations, "record_id").withColumn("annotations", F.transform("annotations", lambda a: F.struct((a["start"] + shift).alias("start"), (a["end"] + shift).alias("end"), a["type"].alias("type"))))
-    cut = both.select("record_id", "annotations", F.posexplode(spans_udf("text")).alias("i", "s"))
+    cut = both.select("record_id", "annotations", F.posexplode(note_spans_udf("text")).alias("i", "s"))
     cut = cut.select(F.concat_ws("_sent_", "record_id", "i").alias("record_id"), F.col("s.text").alias("text"), clip_to(F.col("annotations"), F.col("s.start"), F.col("s.end")).alias("spans"))
 
     @F.pandas_udf(T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("ner_tags", T.ArrayType(T.StringType()))]))
     def tag(texts, spans):
-        import pandas as pd
-
         return pd.DataFrame([iob_tags(t, [(s["start"], s["end"], s["type"]) for s in x]) for t, x in zip(texts, spans, strict=True)], columns=["tokens", "ner_tags"])
 
     return cut.select("record_id", tag("text", "spans").alias("t")).select("record_id", "t.*")
@@ -183,4 +239,4 @@ def claims_to_documents(claims: DataFrame, join_with: str = "") -> DataFrame:
 
 def header_tokens(token: Column) -> Column:
     """``X:`` with a known header or at least two capitals, as an expression."""
-    return F.lower(F.regexp_replace(token, ":$", "")).isin(*sorted(HEADERS)) & token.endswith(":") | token.rlike("^[A-Z]{2,}:$")
+    return F.upper(F.regexp_replace(token, ":$", "")).isin(*sorted(HEADERS)) & token.endswith(":") | token.rlike("^[A-Z]{2,}:$")

@@ -91,10 +91,19 @@ def test_evidence_and_physionet(spark, tmp_path):
     ann = write(tmp_path / "a.csv", "PMCID,UserID,Evidence Start,Evidence End\n7,1,12,20\n7,1,-1,5\n8,1,0,3\n")
     rows = corpora.evidence_inference(corpora.evidence_annotations(spark, ann), corpora.articles(spark, str(tmp_path / "txt"))).collect()
     assert len(rows) == 1 and rows[0].input_unit_labels == [0, 1] and rows[0].intent == "User1"
+    ann = write(tmp_path / "a2.csv", "PMCID,UserID,PromptID,Evidence Start,Evidence End\n7,1,5,12,20\n")
+    asked = write(tmp_path / "q.csv", 'PromptID,PMCID,Outcome,Intervention,Comparator\n5,7,"pain, any",drug,placebo\n')
+    split = write(tmp_path / "train.txt", "5\n\n6\n")
+    r = corpora.evidence_inference_raw(corpora.evidence_annotations(spark, ann), corpora.evidence_prompts(spark, asked), corpora.evidence_splits(spark, {"train": split})).first()
+    assert (r.Outcome, r.Intervention, r.split, r.PMCID) == ("pain, any", "drug", "train", 7)
     rec = write(tmp_path / "r.text", "START_OF_RECORD=3||||4||||\nSeen by Doctor Who. No pain ; fever .||||END_OF_RECORD\n")
     marks = write(tmp_path / "m.csv", "record_id,begin,length,type\n3||||4,8,10,NAME\n")
     sents = corpora.physionet_sentences(corpora.physionet_records(spark, rec), corpora.physionet_annotations(spark, marks))
     assert any("B-NAME" in r.ner_tags for r in sents.collect())
+    notes = write(tmp_path / "fix.txt", str({"id": "3||||4_sent_0", "correction": "[[('Seen', 'B-DATE')], [('nothing', 'B-X')]]"}) + "\n")
+    fixed = corpora.apply_corrections(sents, corpora.physionet_corrections(spark, notes)).where("record_id like '%_sent_0'").first()
+    assert fixed.ner_tags[0] == "B-DATE" and "B-NAME" in fixed.ner_tags
+    assert corpora.physionet(spark, rec, marks, notes).count() == 1
     docs = corpora.standardize(corpora.claims_to_documents(corpora.sentences_to_claims(sents), " "), "physionet")
     r = docs.first()
     assert sum(r.input_unit_labels) >= 1 and len(r.input_units) == len(r.input_unit_labels)
