@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 NOISE = 1e-6
 SEED = 42
 
@@ -18,17 +21,16 @@ def noise_values(n: int, seed: int = SEED, scale: float = NOISE) -> list[float]:
 
 
 def noise_table(spark: SparkSession, n: int, seed: int = SEED) -> DataFrame:
-    """``(unit_idx, eps)`` as a local relation of ``n`` rows, n being the longest document."""
-    values = ", ".join(f"({i}, {e!r}D)" for i, e in enumerate(noise_values(max(1, n), seed)))
-    return spark.sql(f"SELECT * FROM VALUES {values} AS noise(unit_idx, eps)")
+    """``(unit_idx, eps)`` of ``n`` rows, n being the longest document's units."""
+    values = noise_values(max(1, n), seed)
+    return spark.createDataFrame(pa.table({"unit_idx": pa.array(range(len(values)), pa.int32()), "eps": pa.array(values, pa.float64())}))
 
 
 def with_noise(units: DataFrame, seed: int = SEED) -> DataFrame:
-    """Adds ``noisy``: the score plus its position's offset."""
+    """Adds ``noisy``: the score plus its position's offset.  The table of offsets is broadcast by its size, if small."""
     longest = units.agg(F.max("unit_idx")).first()[0]
-    # As many rows as the longest document has units.
     table = noise_table(units.sparkSession, (longest or 0) + 1, seed)
-    return units.join(F.broadcast(table), "unit_idx").withColumn("noisy", F.col("score") + F.col("eps")).drop("eps")
+    return units.join(table, "unit_idx").withColumn("noisy", F.col("score") + F.col("eps")).drop("eps")
 
 
 def row_scores(noisy: DataFrame, beta: float) -> DataFrame:
@@ -44,26 +46,35 @@ def rank_of(n: int, alpha: float) -> int:
     return max(1, min(math.floor((n + 1) * alpha), n))
 
 
+#: Bins that one pass of the rank search counts.
+BINS = 1024
+
+
 def threshold(scores: DataFrame, alpha: float) -> float | None:
     """The k-th smallest row score, k from the number of rows; None without rows.
 
-    Found by counting: the rows are bucketed by approximate quantiles and only the
-    bucket that holds rank k is sorted, so no task sees all rows.
+    Scores are written out once.  Each pass counts equal bins of the range that holds
+    rank k and goes on with one bin, until that holds a single value: nothing is sorted
+    and no task sees all rows, whatever their number.
     """
-    n = scores.count()
-    if not n:
+    rows = written(scores.select(F.col("q").cast("double").alias("q")), "scores")
+    finite = rows.where(F.col("q") < float("inf"))
+    total = rows.count()
+    if not total:
         return None
-    k = rank_of(n, alpha)
-    finite = scores.where(F.col("q") < float("inf")).select("q")
-    if n <= 10_000:
-        return [r["q"] for r in scores.select("q").orderBy("q").limit(k).collect()][-1]
-    share = k / n
-    lo, hi = finite.approxQuantile("q", [max(0.0, share - 0.01), min(1.0, share + 0.01)], 0.002) or [float("inf")] * 2
-    below = finite.where(F.col("q") < lo).count()
-    inside = finite.where((F.col("q") >= lo) & (F.col("q") <= hi)).orderBy("q")
-    if below < k <= below + inside.count():
-        return inside.limit(k - below).agg(F.max("q")).first()[0]
-    return scores.orderBy("q").limit(k).agg(F.max("q")).first()[0]
+    k = rank_of(total, alpha)
+    n, lo, hi = finite.agg(F.count("q"), F.min("q"), F.max("q")).first()
+    if k > n:
+        return float("inf")
+    while lo < hi:
+        bin_ = F.least(F.floor((F.col("q") - lo) / (hi - lo) * BINS), F.lit(BINS - 1))
+        inside = finite.where((F.col("q") >= lo) & (F.col("q") <= hi))
+        for r in sorted(inside.groupBy(bin_.alias("b")).agg(F.count("q").alias("n"), F.min("q").alias("lo"), F.max("q").alias("hi")).collect(), key=lambda r: r["b"]):  # at most BINS rows
+            if k <= r["n"]:
+                lo, hi = r["lo"], r["hi"]
+                break
+            k -= r["n"]
+    return lo
 
 
 def retained(noisy: DataFrame, cut: float) -> DataFrame:

@@ -22,18 +22,22 @@ def average_precision(units: DataFrame, keys: tuple[str, ...] = ("sample_id", "s
 
 
 def ap_of_arrays(scores: Column, labels: Column) -> Column:
-    """AP of one row's parallel arrays, as an expression (no exchange)."""
-    pairs = F.arrays_zip(scores.alias("s"), labels.alias("y"))
-    levels = F.sort_array(F.array_distinct(scores), asc=False)
+    """AP of one row's parallel arrays, as an expression (no exchange): one sort and one pass.
 
-    def step(level: Column) -> Column:
-        at = F.size(F.filter(pairs, lambda u: (u["s"] == level) & (u["y"] == 1)))
-        hits = F.size(F.filter(pairs, lambda u: (u["s"] >= level) & (u["y"] == 1)))
-        seen = F.size(F.filter(pairs, lambda u: u["s"] >= level))
-        return at.cast("double") * hits / seen
+    Units tied on score form one step: its precision counts once the step is complete.
+    """
+    pairs = F.reverse(F.array_sort(F.transform(F.arrays_zip(scores.alias("s"), labels.alias("y")), lambda u: F.struct(u["s"].cast("double").alias("s"), F.when(u["y"] == 1, 1).otherwise(0).alias("y")))))
+    zero = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("hits"), F.lit(0).alias("at"), F.lit(None).cast("double").alias("s"), F.lit(0.0).alias("sum"))
+
+    def closed(a: Column) -> Column:
+        return a["sum"] + F.coalesce(F.try_divide(a["at"].cast("double") * a["hits"], a["seen"]), F.lit(0.0))
+
+    def step(a: Column, u: Column) -> Column:
+        same = a["s"].eqNullSafe(u["s"])
+        return F.struct((a["seen"] + 1).alias("seen"), (a["hits"] + u["y"]).alias("hits"), F.when(same, a["at"] + u["y"]).otherwise(u["y"]).alias("at"), u["s"].alias("s"), F.when(same, a["sum"]).otherwise(closed(a)).alias("sum"))
 
     positives = F.size(F.filter(labels, lambda y: y == 1))
-    total = F.aggregate(F.transform(levels, step), F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate(pairs, zero, step, closed)
     return F.when(scores.isNotNull() & (positives > 0) & (positives < F.size(labels)), total / positives)
 
 
@@ -42,10 +46,38 @@ def summarize(aps: DataFrame, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
     return aps.groupBy(*by).agg(F.coalesce(F.avg("ap"), F.lit(float("nan"))).alias("map"), F.count("ap").alias("n"))
 
 
+#: Bins over [0, 1] of the percentile search.
+BINS = 1024
+
+
+def percentiles(aps: DataFrame, by: tuple[str, ...], shares: list[float]) -> DataFrame:
+    """``(*by, q)``: exact linear percentiles of ``ap`` (in [0, 1]) as an array.
+
+    Equal values are counted, bins of values are summed, and a value's rank is its bin's
+    base plus its place in the bin, so a group's values are never gathered.
+    """
+    by = list(by)
+    values = aps.where("ap IS NOT NULL").groupBy(*by, "ap").agg(F.count(F.lit(1)).alias("c")).withColumn("b", F.floor(F.col("ap") * BINS))
+    bins = values.groupBy(*by, "b").agg(F.sum("c").alias("s"))
+    earlier = Window.unboundedPreceding, -1
+    placed = bins.select(*by, "b", F.coalesce(F.sum("s").over(Window.partitionBy(*by).orderBy("b").rowsBetween(*earlier)), F.lit(0)).alias("base"), F.sum("s").over(Window.partitionBy(*by)).alias("n"))
+    inside = F.coalesce(F.sum("c").over(Window.partitionBy(*by, "b").orderBy("ap").rowsBetween(*earlier)), F.lit(0))
+    ranked = values.withColumn("_at", inside).join(placed, [*by, "b"]).withColumn("_at", F.col("_at") + F.col("base"))
+    ends = []
+    for i, q in enumerate(shares):
+        at = F.floor(F.lit(q) * (F.col("n") - 1)).cast("long")
+        holds = lambda r: (F.col("_at") <= r) & (r < F.col("_at") + F.col("c"))
+        ends += [F.max(F.when(holds(at), F.col("ap"))).alias(f"_a{i}"), F.max(F.when(holds(F.least(at + 1, F.col("n") - 1)), F.col("ap"))).alias(f"_z{i}")]
+    found = ranked.groupBy(*by).agg(F.max("n").alias("_n"), *ends)
+    part = lambda i, q: F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * (F.lit(q) * (F.col("_n") - 1) - F.floor(F.lit(q) * (F.col("_n") - 1)))
+    return found.select(*by, F.array(*[part(i, q) for i, q in enumerate(shares)]).alias("q"))
+
+
 def ap_stats(aps: DataFrame, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
     """Mean, sample deviation (null for one), linear percentiles, least and largest; errors over all rows."""
     q = [0.05, 0.25, 0.5, 0.75, 0.95]
-    out = aps.groupBy(*by).agg(F.avg("ap").alias("mean_ap"), F.stddev_samp("ap").alias("std_ap"), F.percentile("ap", F.array(*[F.lit(x) for x in q])).alias("q"), F.min("ap").alias("min_ap"), F.max("ap").alias("max_ap"), F.count("ap").alias("n_scored"), F.count_if(F.col("ap").isNull()).alias("n_failed"))
+    out = aps.groupBy(*by).agg(F.avg("ap").alias("mean_ap"), F.stddev_samp("ap").alias("std_ap"), F.min("ap").alias("min_ap"), F.max("ap").alias("max_ap"), F.count("ap").alias("n_scored"), F.count_if(F.col("ap").isNull()).alias("n_failed"))
+    out = out.join(percentiles(aps, by, q), list(by), "left")
     rate = F.coalesce(F.try_divide(F.col("n_failed"), F.col("n_failed") + F.col("n_scored")), F.lit(0.0))
     return out.select(*by, "mean_ap", "std_ap", *[F.col("q")[i].alias(f"p{round(x * 100)}") for i, x in enumerate(q)], "min_ap", "max_ap", "n_scored", "n_failed", rate.alias("error_rate"))
 
@@ -54,7 +86,7 @@ def distribution_stats(aps: DataFrame, by: tuple[str, ...] = ("strategy",)) -> D
     """Report figures: population deviation, seven quantiles, shares of zero and perfect APs; half-even rounding."""
     q = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
     known = aps.where("ap IS NOT NULL")
-    out = known.groupBy(*by).agg(F.count("ap").alias("n"), F.avg("ap").alias("m"), F.stddev_pop("ap").alias("s"), F.percentile("ap", F.array(*[F.lit(x) for x in q])).alias("q"), F.avg(F.when(F.col("ap") == 0, 100.0).otherwise(0.0)).alias("z"), F.avg(F.when(F.col("ap") >= 1, 100.0).otherwise(0.0)).alias("o"))
+    out = known.groupBy(*by).agg(F.count("ap").alias("n"), F.avg("ap").alias("m"), F.stddev_pop("ap").alias("s"), F.avg(F.when(F.col("ap") == 0, 100.0).otherwise(0.0)).alias("z"), F.avg(F.when(F.col("ap") >= 1, 100.0).otherwise(0.0)).alias("o")).join(percentiles(known, by, q), list(by))
     return out.select(*by, "n", F.bround("m", 4).alias("mean"), F.bround("s", 4).alias("std"), *[F.bround(F.col("q")[i], 4).alias(f"p{round(x * 100)}") for i, x in enumerate(q)], F.bround("z", 1).alias("pct_zero"), F.bround("o", 1).alias("pct_perfect"))
 
 
@@ -63,10 +95,12 @@ def run_metrics(aps: DataFrame, by: tuple[str, ...] = ("strategy",), confidence:
 
     The quantile depends on n alone and is looked up for the group sizes that occur.
     """
-    out = aps.where("ap IS NOT NULL AND NOT isnan(ap)").groupBy(*by).agg(F.count("ap").alias("n"), F.avg("ap").alias("mean_ap"), F.coalesce(F.stddev_samp("ap"), F.lit(0.0)).alias("std_ap"), F.percentile("ap", 0.5).alias("median_ap"), F.min("ap").alias("min_ap"), F.max("ap").alias("max_ap"))
+    known = aps.where("ap IS NOT NULL AND NOT isnan(ap)")
+    out = known.groupBy(*by).agg(F.count("ap").alias("n"), F.avg("ap").alias("mean_ap"), F.coalesce(F.stddev_samp("ap"), F.lit(0.0)).alias("std_ap"), F.min("ap").alias("min_ap"), F.max("ap").alias("max_ap"))
+    out = out.join(percentiles(known, by, [0.5]), list(by)).withColumn("median_ap", F.col("q")[0]).drop("q")
     half = t_quantile(F.col("n") - 1, (1 + confidence) / 2) * F.col("std_ap") / F.sqrt("n")
     half = F.when(F.col("n") > 1, half).otherwise(0.0)
-    return out.select("*", (F.col("mean_ap") - half).alias("ci_low"), (F.col("mean_ap") + half).alias("ci_high"))
+    return out.select(*by, "n", "mean_ap", "std_ap", "median_ap", "min_ap", "max_ap", (F.col("mean_ap") - half).alias("ci_low"), (F.col("mean_ap") + half).alias("ci_high"))
 
 
 def intent_metrics(aps: DataFrame, intent: str = "intent", failed: Column | None = None) -> DataFrame:
@@ -76,14 +110,16 @@ def intent_metrics(aps: DataFrame, intent: str = "intent", failed: Column | None
     return out.orderBy(F.coalesce(F.nanvl("mean_ap", F.lit(0.0)), F.lit(0.0)).desc(), "intent")
 
 
-def error_summary(aps: DataFrame, by: tuple[str, ...] = ("strategy",), keep: int = 20) -> DataFrame:
-    """Failed samples per run: count, rate and the first ``keep`` of them by sample id; null when none failed.
+def first_failed(failed: DataFrame, by: tuple[str, ...], keep: int, key: str = "sample_id") -> DataFrame:
+    """``(*by, samples)``: the first ``keep`` keys of every group; a bounded top-k, so a group of any size sends ``keep`` rows on."""
+    w = Window.partitionBy(*by).orderBy(key)
+    head = failed.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep)
+    return head.groupBy(*by).agg(F.array_sort(F.collect_list(key)).alias("samples"))
 
-    The first ones are a bounded top-k, so a run of any size sends ``keep`` rows on.
-    """
-    w = Window.partitionBy(*by).orderBy("sample_id")
-    failed = aps.where("ap IS NULL").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep)
-    first = failed.groupBy(*by).agg(F.array_sort(F.collect_list("sample_id")).alias("samples"))
+
+def error_summary(aps: DataFrame, by: tuple[str, ...] = ("strategy",), keep: int = 20) -> DataFrame:
+    """Failed samples per run: count, rate and the first ``keep`` of them by sample id; null when none failed."""
+    first = first_failed(aps.where("ap IS NULL"), by, keep)
     counts = aps.groupBy(*by).agg(F.count_if(F.col("ap").isNull()).alias("total_errors"), F.count(F.lit(1)).alias("total"))
     return counts.join(first, list(by), "left").select(*by, F.when(F.col("total_errors") > 0, F.struct("total_errors", (F.col("total_errors") / F.col("total")).alias("error_rate"), "samples")).alias("error_summary"))
 

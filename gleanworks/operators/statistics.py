@@ -30,12 +30,18 @@ def cohens_d(mean_a: Column, mean_b: Column, var_a: Column, var_b: Column, n_a:
     return F.when(pooled == 0, 0.0).otherwise((mean_a - mean_b) / pooled)
 
 
-def paired_summary(pairs: DataFrame) -> DataFrame:
-    """One row: n, means, difference, its deviation, t statistic, effect size."""
+def paired_summaries(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per group of ``pairs(a, b)``: n, means, difference, its deviation, t statistic, effect size."""
     d = F.col("a") - F.col("b")
-    out = pairs.agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(d).alias("diff"), F.stddev_samp(d).alias("std_diff"), F.var_samp("a").alias("va"), F.var_samp("b").alias("vb"))
+    sums = [F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(d).alias("diff"), F.stddev_samp(d).alias("std_diff"), F.var_samp("a").alias("va"), F.var_samp("b").alias("vb")]
+    out = pairs.groupBy(*by).agg(*sums)
     t = F.try_divide(F.col("diff"), F.col("std_diff") / F.sqrt("n"))
-    return out.select("n", "mean_a", "mean_b", "diff", "std_diff", t.alias("t"), cohens_d(F.col("mean_a"), F.col("mean_b"), F.col("va"), F.col("vb"), F.col("n"), F.col("n")).alias("d"))
+    return out.select(*by, "n", "mean_a", "mean_b", "diff", "std_diff", t.alias("t"), cohens_d(F.col("mean_a"), F.col("mean_b"), F.col("va"), F.col("vb"), F.col("n"), F.col("n")).alias("d"))
+
+
+def paired_summary(pairs: DataFrame) -> DataFrame:
+    """One row: n, means, difference, its deviation, t statistic, effect size."""
+    return paired_summaries(pairs)
 
 
 def paired_ttest(a: DataFrame, b: DataFrame, confidence: float = 0.95, key: str = "sample_id") -> dict[str, float | int | None]:
@@ -63,12 +69,12 @@ def bootstrap_map(values: list[float], rounds: int = 10_000, confidence: float =
 
 
 def bootstrap_difference(a: list[float], b: list[float], rounds: int = 10_000, confidence: float = 0.95, seed: int = 42) -> dict[str, float]:
-    """Unpaired bootstrap of a difference of means; p is the share of centred differences at least as large."""
+    """Unpaired bootstrap of a difference of means; p is the share of differences that lie at least as far from the observed one as that from 0."""
     rng = random.Random(seed)
     observed = sum(a) / len(a) - sum(b) / len(b)
     diffs = sorted(sum(rng.choices(a, k=len(a))) / len(a) - sum(rng.choices(b, k=len(b))) / len(b) for _ in range(rounds))
-    centre, tail = sum(diffs) / rounds, (1 - confidence) / 2
-    return {"diff": observed, "ci_low": diffs[int(tail * rounds)], "ci_high": diffs[min(rounds - 1, int((1 - tail) * rounds))], "p_value": sum(abs(d - centre) >= abs(observed) for d in diffs) / rounds}
+    tail = (1 - confidence) / 2
+    return {"diff": observed, "ci_low": diffs[int(tail * rounds)], "ci_high": diffs[min(rounds - 1, int((1 - tail) * rounds))], "p_value": sum(abs(d - observed) >= abs(observed) for d in diffs) / rounds}
 
 
 def poisson_bootstrap(aps: DataFrame, rounds: int = 1000, by: str = "strategy") -> DataFrame:
@@ -93,7 +99,15 @@ def sensitivity(aps: DataFrame, by: list[str], permutation: str = "permutation_i
 
 
 def compare_strategies(aps: DataFrame, baseline: str, confidence: float = 0.95) -> dict[str, dict]:
-    """Paired test of every strategy against the baseline on their common samples."""
-    names = [r["strategy"] for r in aps.select("strategy").distinct().collect()]
-    base = aps.where(F.col("strategy") == baseline)
-    return {s: paired_ttest(aps.where(F.col("strategy") == s), base, confidence) for s in sorted(names) if s != baseline}
+    """Paired test of every strategy against the baseline on their common samples: one grouped aggregate, a row per strategy."""
+    known = aps.where("ap IS NOT NULL").select("strategy", "sample_id", "ap")
+    base = known.where(F.col("strategy") == baseline).select("sample_id", F.col("ap").alias("b"))
+    pairs = known.where(F.col("strategy") != baseline).withColumnRenamed("ap", "a").join(base, "sample_id")
+    out = {}
+    for r in paired_summaries(pairs, ("strategy",)).collect():
+        if r["n"] < 2:
+            raise ValueError(f"a paired test needs two common samples; {r['strategy']} has {r['n']}")
+        p = None if r["t"] is None else t_two_sided_p(r["t"], r["n"] - 1)
+        lo, hi = confidence_interval(r["diff"], r["std_diff"], r["n"], confidence)
+        out[r["strategy"]] = {k: v for k, v in r.asDict().items() if k != "strategy"} | {"p_value": p, "ci_low": lo, "ci_high": hi, "significant": p is not None and p < 1 - confidence}
+    return dict(sorted(out.items()))
