@@ -196,10 +196,14 @@ _STRATEGIES: dict[str, Selector] = {
     "pattern_dpp": select_pattern_dpp,
 }
 LOCAL = ("bm25", "knn")
+#: What strategies look at: labels alone, the vectors of units, and else the vector of the whole text (as registered ones do).
+BY_LABELS = ("random", "most_positive")
+BY_UNITS = ("boundary", "clarity", "fisher", "pattern_dpp")
 SUFFIX = "_stratified"
 
 
 def register(name: str, strategy: Selector) -> None:
+    """Add a strategy; it is given labels and the vectors of whole texts."""
     _STRATEGIES[name] = strategy
 
 

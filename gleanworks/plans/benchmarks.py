@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.splits import split_dataset
 from ..session import load
 
 STRATEGIES = ("s1", "s2", "s3")
@@ -57,6 +58,22 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as samples: lines as units, language as intent, lines whose length is divisible by three as relevant."""
+    docs = load(spark, sf_dir, "documents").where("text IS NOT NULL AND text <> ''")
+    units = F.split("text", "\n")
+    rows = docs.select(F.col("doc_id").alias("sample_id"), F.coalesce("lang", F.lit("")).alias("intent"), F.col("text").alias("input"), units.alias("input_units"))
+    return rows.withColumn("input_unit_labels", F.transform("input_units", lambda u: (F.length(u) % 3 == 0).cast("int")))
+
+
+def text_splits(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """``text_samples`` split as a corpus of several intents, in a portable order."""
+    rows = text_samples(spark, sf_dir)
+    order = [(F.col("sample_id") * 7919 + 3) % 1000, F.col("sample_id")]
+    named = split_dataset(rows, "contractnli", order=order)
+    return {part: named.where(F.col("split") == part).drop("split") for part in ("pool", "cal", "test")}
+
+
 UNITS_SQL = """
 wide AS (
   SELECT l_orderkey AS sample_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1)::INT AS unit_idx,
@@ -84,3 +101,22 @@ runs AS (
          props AS icl_strategy_params, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_id % 50 = 1 THEN 'running' ELSE 'completed' END AS status,
          (event_id % 97)::INT AS n_samples_scored, CASE WHEN event_type = 'error' THEN event_id % 7 ELSE 0 END::INT AS n_samples_failed
   FROM events)"""
+
+TEXT_SQL = """
+ts AS (SELECT doc_id AS sample_id, coalesce(lang, '') AS intent, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND text <> ''),
+ta AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY (sample_id * 7919 + 3) % 1000, sample_id) AS i FROM ts),
+tb AS (SELECT *, row_number() OVER (PARTITION BY i <= 20 ORDER BY (sample_id * 7919 + 3) % 1000, sample_id) AS rn FROM ta),
+sp AS (SELECT sample_id, intent, text, ls, CASE WHEN i <= 20 THEN 'pool' WHEN rn <= 100 THEN 'cal' ELSE 'test' END AS split FROM tb),
+tu AS (SELECT sample_id, intent, split, p - 1 AS unit_idx, (length(ls[p]) % 3 = 0)::INT AS label, ls[p] AS line,
+              coalesce(list_sum(list_transform(regexp_extract_all(ls[p], '(?s).'), lambda c: unicode(c))), 0)::BIGINT AS codes
+       FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS p FROM sp))"""
+
+
+def scored_sql(shift: int, name: str = "x") -> str:
+    """SQL of the stand-in scorer's scores with ``shift`` examples in the prompt, and of their average precision: ``<name>u`` and ``<name>a``, after ``TEXT_SQL``."""
+    return f"""
+{name}u AS (SELECT *, ((codes + {shift}) % 101) / 100.0::DOUBLE AS score FROM tu WHERE split <> 'pool'),
+{name}s AS (SELECT sample_id, intent, split, score, sum(label) AS p, count(*) AS n FROM {name}u GROUP BY ALL),
+{name}c AS (SELECT sample_id, intent, split, p, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER g AS tp, sum(n) OVER g AS tn FROM {name}s
+  WINDOW w AS (PARTITION BY sample_id ORDER BY score DESC), g AS (PARTITION BY sample_id)),
+{name}a AS (SELECT sample_id, any_value(intent) AS intent, any_value(split) AS split, CASE WHEN max(tp) > 0 AND max(tp) < max(tn) THEN sum(p::DOUBLE * cp / cn) / max(tp) END AS ap FROM {name}c GROUP BY sample_id)"""

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import parsing, prompts, text
-from .operators import conformal, errors, fusion, precision, retrieval, runs, selection, splits, statistics
-from .plans.benchmarks import AP_SQL, RUNS_SQL, UNITS_SQL, samples, unit_scores, wide_units
+from .operators import conformal, errors, examples, fusion, precision, report, retrieval, runs, selection, splits, statistics
+from .plans import experiment
+from .plans.benchmarks import AP_SQL, RUNS_SQL, TEXT_SQL, UNITS_SQL, samples, scored_sql, text_samples, text_splits, unit_scores, wide_units
 from .plans.benchmarks import runs as event_runs
-from .session import load, ready
+from .session import load, ready, shared_folder, written
+from .sources import corpora
+from .sources.store import RunStore
 from .streaming.errors import hourly
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -418,31 +423,73 @@ def _(spark, d):
 
 # -- errors
 
-_MESSAGES = "m AS (SELECT event_id AS sample_id, ts, user_id, event_type AS intent, CASE event_id % 6 WHEN 0 THEN 'HTTP 429: timeout' WHEN 1 THEN 'Connection refused' WHEN 2 THEN 'JSON decode failed' WHEN 3 THEN 'request timed out' WHEN 4 THEN 'odd thing' ELSE 'HTTP 503' END AS message FROM events)"
-_CATEGORIES = f"{_MESSAGES}, c AS (SELECT *, CASE event_6 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'network' WHEN 2 THEN 'parse_error' WHEN 3 THEN 'timeout' WHEN 4 THEN 'unknown' ELSE 'server_error' END AS category, CASE event_6 WHEN 2 THEN 'low' WHEN 4 THEN 'high' WHEN 5 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT *, sample_id % 6 AS event_6 FROM m))"
+_SAID = (
+    "HTTP 429: timeout", "Connection refused", "JSON decode failed", "request timed out", "odd thing", "HTTP 503", "401 Unauthorized", "blocked by the safety filter",
+    "prompt is too long", "missing score for unit 3", "score out of range", "empty response", "Internal error", "model overloaded", "network unreachable", "Quota exceeded for today",
+)
+_MESSAGES = f"m AS (SELECT event_id AS sample_id, ts, user_id, event_type AS intent, (event_id * 37 % 6000)::INT AS input_length, {list(_SAID)!r}[event_id % {len(_SAID)} + 1] AS message FROM events)"
+
+
+def _rule_sql(pick: int) -> str:
+    cases = " ".join(f"WHEN regexp_matches(lower(message), '{r[0]}') THEN '{r[pick]}'" for r in errors.RULES)
+    return f"CASE {cases} ELSE '{errors.NO_MATCH[pick]}' END"
+
+
+_CATEGORIES = f"{_MESSAGES}, c AS (SELECT *, {_rule_sql(1)} AS category, {_rule_sql(2)} AS error_type, {_rule_sql(3)} AS severity FROM m)"
+_ACTION = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in errors.ACTIONS.items()) + " END"
+_LONG = "SELECT {by}'category' AS dimension, category AS value, count(*) AS n FROM {rows} GROUP BY ALL UNION ALL SELECT {by}'error_type', error_type, count(*) FROM {rows} GROUP BY ALL UNION ALL SELECT {by}'severity', severity, count(*) FROM {rows} GROUP BY ALL"
+_BUCKET = "CASE WHEN input_length IS NULL THEN 'unknown' " + " ".join(f"WHEN input_length <= {b} THEN '<={b}'" for b in errors.BUCKETS) + f" ELSE '>{errors.BUCKETS[-1]}' END"
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, k = load(spark, sf_dir, "events"), F.col("event_id") % 6
-    m = F.when(k == 0, "HTTP 429: timeout").when(k == 1, "Connection refused").when(k == 2, "JSON decode failed").when(k == 3, "request timed out").when(k == 4, "odd thing").otherwise("HTTP 503")
-    return errors.categorize(e.select(F.col("event_id").alias("sample_id"), "ts", "user_id", F.col("event_type").alias("intent"), m.alias("message")))
+    e = load(spark, sf_dir, "events")
+    said = F.get(F.array(*map(F.lit, _SAID)), (F.col("event_id") % len(_SAID)).cast("int"))
+    return errors.categorize(e.select(F.col("event_id").alias("sample_id"), "ts", "user_id", F.col("event_type").alias("intent"), (F.col("event_id") * 37 % 6000).cast("int").alias("input_length"), said.alias("message")))
 
 
-@query("error_categorize", f"WITH {_CATEGORIES} SELECT sample_id, message, category, severity FROM c")
+@query("error_categorize", f"WITH {_CATEGORIES} SELECT sample_id, message, category, error_type, severity, {_ACTION} AS action FROM c")
 def _(spark, d):
-    return _messages(spark, d).select("sample_id", "message", "category", "severity")
+    return _messages(spark, d).select("sample_id", "message", "category", "error_type", "severity", "action")
 
 
-@query("error_counts", f"WITH {_CATEGORIES} SELECT 'category' AS dimension, category AS value, count(*) AS n FROM c GROUP BY category UNION ALL SELECT 'severity', severity, count(*) FROM c GROUP BY severity")
+@query("error_counts", f"WITH {_CATEGORIES} {_LONG.format(by='', rows='c')}")
 def _(spark, d):
     return errors.counts(_messages(spark, d))
 
 
-@query("error_patterns_having", f"WITH {_CATEGORIES} SELECT category, count(*) AS n, min(sample_id) AS first_id, first(substr(message, 1, 200) ORDER BY sample_id) AS example FROM c GROUP BY category HAVING count(*) >= 2")
+def _analysis_sql(rows: str, by: str, total: str) -> str:
+    keys = f"{by}, " if by else ""
+    join = f"s.{by} IS NOT DISTINCT FROM l.{by}" if by else "true"
+    return f"""l AS ({_LONG.format(by=keys, rows=rows)}), s AS (SELECT {keys}count(*) AS total_errors FROM {rows} GROUP BY ALL)
+    SELECT {'l.' + by + ', ' if by else ''}dimension, value, n, total_errors, round(n::DOUBLE / total_errors, 6) AS share, round(total_errors::DOUBLE / {total}, 6) AS error_rate, round(1 - total_errors::DOUBLE / {total}, 6) AS success_rate FROM l JOIN s ON {join}"""
+
+
+@query("error_analysis", f"WITH {_CATEGORIES}, e AS (SELECT * FROM c WHERE intent = 'error'), {_analysis_sql('e', '', '(SELECT count(*) FROM events)')}")
+def _(spark, d):
+    m = _messages(spark, d)
+    return _r(errors.analyze(m.where("intent = 'error'"), total=m.count()))
+
+
+@query("error_analysis_by_intent", f"WITH {_CATEGORIES}, {_analysis_sql('c', 'intent', 'total_errors')}")
+def _(spark, d):
+    return _r(errors.analyze_by_intent(_messages(spark, d)))
+
+
+@query("error_by_bucket", f"WITH {_CATEGORIES}, b AS (SELECT *, {_BUCKET} AS bucket FROM c), {_analysis_sql('b', 'bucket', 'total_errors')}")
+def _(spark, d):
+    return _r(errors.analyze_by_length(_messages(spark, d)))
+
+
+@query("error_patterns_having", f"WITH {_CATEGORIES} SELECT error_type, count(*) AS n, min(sample_id) AS first_id, first(substr(message, 1, 200) ORDER BY sample_id) AS example, first(category ORDER BY sample_id) AS category, first({_ACTION} ORDER BY sample_id) AS action FROM c GROUP BY error_type HAVING count(*) >= 2")
 def _(spark, d):
     return errors.patterns(_messages(spark, d))
 
 
+@query("error_pattern_members", f"WITH {_CATEGORIES} SELECT error_type, sample_id, {_ACTION} AS action FROM c WHERE error_type IN (SELECT error_type FROM c GROUP BY error_type HAVING count(*) >= 2)")
+def _(spark, d):
+    return errors.pattern_members(_messages(spark, d))
+
+
 @query("error_timeline_hourly", "SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")
 def _(spark, d):
     return errors.timeline(load(spark, d, "events").where("event_type = 'error'"))
@@ -629,3 +676,255 @@ def _(spark, d):
 def _(spark, d):
     n = _messages(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))  # a row per category
     return n.withColumn("rank", F.dense_rank().over(Window.orderBy(F.col("n").desc())))
+
+
+# -- experiments: examples chosen and formatted, every row scored by the stand-in scorer, evaluated and stored
+
+
+def _run(spark: SparkSession, sf_dir: str, store: RunStore | None = None, **settings) -> experiment.Result:
+    parts = text_splits(spark, sf_dir)
+    return experiment.run_experiment(experiment.Settings("contractnli", **settings), experiment.offline_scorer, parts["pool"], parts["cal"], parts["test"], store)
+
+
+def _scored(result: experiment.Result) -> DataFrame:
+    ap = F.round(f"{result.output}_ap", 6).alias("ap")
+    part = lambda df, split: df.select("sample_id", "intent", F.lit(split).alias("split"), F.size(result.output).cast("long").alias("n"), ap)
+    return part(result.test, "test").unionByName(part(result.cal, "cal"))
+
+
+def _scored_sql(shift: int) -> str:
+    return f"WITH {TEXT_SQL}, {scored_sql(shift)}, n AS (SELECT sample_id, count(*) AS n FROM xu GROUP BY 1) SELECT sample_id, intent, split, n, round(ap, 6) AS ap FROM xa JOIN n USING (sample_id)"
+
+
+@query("experiment_icl_free", _scored_sql(0))
+def _(spark, d):
+    return _scored(_run(spark, d, no_icl=True))
+
+
+@query("experiment_global", _scored_sql(3))
+def _(spark, d):
+    return _scored(_run(spark, d, strategy="rep"))
+
+
+@query("experiment_local", _scored_sql(2))
+def _(spark, d):
+    return _scored(_run(spark, d, strategy="bm25", n_icl=2))
+
+
+@query("experiment_moe", _scored_sql(2))
+def _(spark, d):
+    return _scored(_run(spark, d, strategy="moe", moe_strategies=["most_positive", "knn", "random"], n_icl=2))
+
+
+@query("experiment_summary", f"WITH {TEXT_SQL}, {scored_sql(3)} SELECT split, round(avg(ap), 6) AS map, count(ap) AS n FROM xa GROUP BY split")
+def _(spark, d):
+    return _r(_run(spark, d, strategy="most_positive").summary)
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[RunStore, experiment.Result]:
+    """A fresh store with a run without examples and an ensemble's run with its two strategies."""
+    store = RunStore(spark, f"{shared_folder(spark)}/gleanworks-{uuid.uuid4().hex}/store")
+    store.init()
+    _run(spark, sf_dir, store, no_icl=True, tags=["base"])
+    return store, _run(spark, sf_dir, store, strategy="moe", moe_strategies=["random", "most_positive"], n_icl=2, run_name="both")
+
+
+_ROWS = f"""WITH {TEXT_SQL}, {scored_sql(0)}, {scored_sql(2, "y")},
+r AS (SELECT 'icl0' AS strategy, * FROM xa UNION ALL SELECT s.strategy, ya.* FROM ya, (SELECT unnest(['moe2', 'random', 'most_positive']) AS strategy) s)"""
+
+
+@query(
+    "run_store_runs",
+    f"""{_ROWS} SELECT strategy, 'completed' AS status, 'contractnli' AS dataset, round(avg(ap), 6) AS mean_ap, round(stddev_samp(ap), 6) AS std_ap, round(quantile_cont(ap, 0.5), 6) AS p50, count(*) AS n_samples_scored, 0 AS n_samples_failed,
+    0.0::DOUBLE AS error_rate, count(DISTINCT intent) AS n_intents FROM r WHERE split = 'test' GROUP BY strategy""",
+)
+def _(spark, d):
+    store, _result = _stored(spark, d)
+    ds = store.table("datasets").select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset"))
+    rows = store.table("runs").join(ds, "dataset_id")
+    intents = F.size(F.filter(F.map_values("intent_metrics"), lambda m: m["n"] > 0))
+    return _r(rows.select(F.col("icl_strategy_name").alias("strategy"), "status", "dataset", "mean_ap", "std_ap", F.col("ap_percentiles.p50").alias("p50"), F.col("n_samples_scored").cast("long").alias("n_samples_scored"), "n_samples_failed", "error_rate", intents.cast("long").alias("n_intents")))
+
+
+@query("run_store_samples", f"{_ROWS} SELECT strategy, sample_id, split, round(ap, 6) AS ap, 'scored' AS status FROM r WHERE split = 'test' OR strategy IN ('icl0', 'moe2')")
+def _(spark, d):
+    store, _result = _stored(spark, d)
+    named = store.table("runs").select("run_id", F.col("icl_strategy_name").alias("strategy"))
+    return _r(store.table("run_samples").join(named, "run_id").select("strategy", F.col("sample_index").cast("long").alias("sample_id"), "split", "ap", "status"))
+
+
+@query("run_report", f"""{_ROWS} SELECT strategy, count(*) AS n_samples, count(*) AS n_success, 0::BIGINT AS n_failed, round(avg(ap), 6) AS mean_ap, round(quantile_cont(ap, 0.5), 6) AS median_ap, round(min(ap), 6) AS min_ap, round(max(ap), 6) AS max_ap,
+    count(DISTINCT intent) AS n_intents FROM r WHERE split = 'test' GROUP BY strategy""")
+def _(spark, d):
+    store, _result = _stored(spark, d)
+    rows = store.table("runs").select("run_id", F.col("icl_strategy_name").alias("strategy"), "started_at", "completed_at")
+    out = report.run_report(rows, store.table("run_samples").where("split = 'test'"))
+    return _r(out.select("strategy", "n_samples", "n_success", "n_failed", "mean_ap", "median_ap", "min_ap", "max_ap", F.size("intent_metrics").cast("long").alias("n_intents")))
+
+
+@query("paper_matrix", f"""{_ROWS} SELECT 'contractnli' AS dataset_name, CASE strategy WHEN 'icl0' THEN 'icl0' ELSE 'icl2_' || strategy END AS label, round(avg(ap), 6) AS mean_ap, count(*) AS n_samples FROM r WHERE split = 'test' GROUP BY strategy""")
+def _(spark, d):
+    store, _result = _stored(spark, d)
+    tables = report.paper_data(store.table("runs"), store.table("run_samples").where("split = 'test'"), store.table("datasets"), rounds=10)
+    return _r(tables["strategy_matrix"].select("dataset_name", "label", "mean_ap", F.col("n_samples").cast("long").alias("n_samples")))
+
+
+@query("examples_most_positive", f"WITH {TEXT_SQL}, n AS (SELECT sample_id, any_value(intent) AS intent, sum(label) AS p FROM tu WHERE split = 'pool' GROUP BY 1) SELECT intent, max(p)::BIGINT AS most, count(*) AS n_pool, least(count(*), 3) AS n_chosen FROM n GROUP BY intent")
+def _(spark, d):
+    pool = text_splits(spark, d)["pool"]
+    chosen = written(examples.choose(pool, "most_positive", 3, True))
+    positives = F.aggregate("input_unit_labels", F.lit(0), lambda a, x: a + x)
+    best = chosen.groupBy("intent").agg(F.max(F.when(F.col("rank") == 1, positives)).cast("long").alias("most"), F.count(F.lit(1)).alias("n_chosen"))
+    return best.join(pool.groupBy("intent").agg(F.count(F.lit(1)).alias("n_pool")), "intent").select("intent", "most", "n_pool", "n_chosen")
+
+
+@query("examples_blocks", f"WITH {TEXT_SQL}, n AS (SELECT intent, count(DISTINCT sample_id) AS c FROM tu WHERE split = 'pool' GROUP BY 1) SELECT intent, least(c, 3) AS n_examples FROM n")
+def _(spark, d):
+    chosen = written(examples.choose(text_splits(spark, d)["pool"], "rep", 3, True))
+    return examples.global_blocks(chosen, True).select("intent", F.regexp_count("examples", F.lit("(?m)^Example [0-9]+$")).cast("long").alias("n_examples"))
+
+
+@query("examples_windowed")
+def _(spark, d):
+    pool = text_splits(spark, d)["pool"]
+    return examples.window_pool(pool, 2).select("sample_id", F.size("input_units").alias("n_units"), F.aggregate("input_unit_labels", F.lit(0), lambda a, x: a + x).alias("n_positive"))
+
+
+@query("examples_local_bm25", r"""WITH """ + TEXT_SQL + r""", p AS (SELECT sample_id, intent, text FROM sp WHERE split = 'pool'), q AS (SELECT sample_id, intent FROM sp WHERE split = 'test') SELECT q.sample_id AS query_id, least(count(*), 2) AS n FROM q JOIN p ON p.intent = q.intent GROUP BY 1""")
+def _(spark, d):
+    parts = text_splits(spark, d)
+    found = examples.local_choice(parts["pool"], parts["test"], "bm25", 2, True)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("split_dataset_by_name", f"WITH {TEXT_SQL} SELECT split, intent, count(*) AS n, sum(sample_id)::BIGINT AS ids FROM sp GROUP BY split, intent")
+def _(spark, d):
+    order = [(F.col("sample_id") * 7919 + 3) % 1000, F.col("sample_id")]
+    parts = splits.split_and_save(text_samples(spark, d).select("sample_id", "intent"), "ContractNLI", f"{shared_folder(spark)}/gleanworks-{uuid.uuid4().hex}", order=order)
+    every = [df.withColumn("split", F.lit(part)) for part, df in parts.items()]
+    return every[0].unionByName(every[1]).unionByName(every[2]).groupBy("split", "intent").agg(F.count(F.lit(1)).alias("n"), F.sum("sample_id").alias("ids"))
+
+
+@query("split_uniform_capped", f"""WITH {UNITS_SQL}, s AS (SELECT DISTINCT sample_id FROM wide), r AS (SELECT *, row_number() OVER (ORDER BY (sample_id * 7919 + 3) % 1000, sample_id) AS rn FROM s)
+    SELECT sample_id, CASE WHEN rn <= 50 THEN 'pool' WHEN rn <= 150 THEN 'cal' ELSE 'test' END AS split FROM r WHERE rn <= 10150""")
+def _(spark, d):
+    return splits.split_dataset(samples(spark, d).select("sample_id"), "hotpotqa", order=_portable(spark)).select("sample_id", "split")
+
+
+# -- loaders, on raw files written from the benchmark table in each corpus's format
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callable[[DataFrame, str], str]]:
+    """Items as ``(item_id, ws)``, their first words, and a function that writes text rows to a new folder."""
+    path = f"{shared_folder(spark)}/gleanworks-{uuid.uuid4().hex}"
+    items = load(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.split("text", r"\s+").alias("ws"))
+
+    def put(rows: DataFrame, name: str) -> str:
+        rows.write.text(f"{path}/{name}")
+        return f"{path}/{name}"
+
+    return items.where(F.size("ws") > 5), put
+
+
+def _array(entry: Column) -> Column:
+    """All entries as one JSON array, as these corpora come."""
+    return F.concat(F.lit("["), F.array_join(F.collect_list(entry), ","), F.lit("]"))
+
+
+def _flags(labels: str) -> Column:
+    return F.array_join(F.transform(labels, lambda y: y.cast("string")), "")
+
+
+_WORDS = r"w AS (SELECT item_id, ws FROM (SELECT item_id, regexp_split_to_array(text, '\s+') AS ws FROM benchmark WHERE text IS NOT NULL) WHERE len(ws) > 5)"
+
+
+@query("load_ectsum", f"WITH {_WORDS} SELECT 'test' AS split, array_to_string(ws, chr(10)) AS input, len(ws) AS n_units, array_to_string(list_transform(ws, lambda x: (length(x) % 2 = 0)::INT), '') AS labels, ws[1] || '|' || ws[2] AS output FROM w")
+def _(spark, d):
+    items, put = _raw(spark, d)
+    labels = F.array_join(F.transform("ws", lambda x: (F.length(x) % 2 == 0).cast("int").cast("string")), "\n")
+    entry = F.struct(F.array_join("ws", "\n").alias("doc"), F.concat(F.col("ws")[0], F.lit("\n"), F.col("ws")[1]).alias("summaries"), labels.alias("labels"))
+    out = corpora.ectsum(spark, {"test": put(items.select(F.to_json(entry)), "ectsum")})
+    return out.select("split", "input", F.size("input_units").cast("long").alias("n_units"), _flags("input_unit_labels").alias("labels"), F.array_join("output_units", "|").alias("output"))
+
+
+@query("load_hotpotqa", f"WITH {_WORDS} SELECT 'q' || item_id AS intent, ws[1] || ' ' || ws[2] || ' ' || ws[3] AS input, '011' AS labels, ws[2] || ' ' || ws[3] AS output_text FROM w")
+def _(spark, d):
+    items, put = _raw(spark, d)
+    line = '{"question": "q%s", "answer": "a", "supporting_facts": [["T", 1], ["U", 0]], "context": [["T", %s], ["U", %s]]}'
+    entry = F.format_string(line, F.col("item_id").cast("string"), F.to_json(F.slice("ws", 1, 2)), F.to_json(F.slice("ws", 3, 1)))
+    out = corpora.hotpotqa(spark, [put(items.agg(_array(entry)), "hotpotqa")])
+    return out.select("intent", "input", _flags("input_unit_labels").alias("labels"), "output_text")
+
+
+@query("load_contractnli", f"WITH {_WORDS} SELECT item_id AS doc_id, 'claim' AS intent, 'h1' AS hyp_id, 'Entailment' AS nli_label, ws[1] || '|' || ws[2] AS units, '01' AS labels, ws[2] AS output_text FROM w")
+def _(spark, d):
+    items, put = _raw(spark, d)
+    one, two = F.col("ws")[0], F.col("ws")[1]
+    spans = F.array(F.array(F.lit(0), F.length(one)), F.array(F.length(one) + 1, F.length(one) + 1 + F.length(two)))
+    said = F.expr("map('h1', named_struct('choice', 'Entailment', 'spans', array(1)), 'h2', named_struct('choice', 'NotMentioned', 'spans', cast(array() as array<int>)))")
+    doc = F.struct(F.col("item_id").alias("id"), F.array_join(F.slice("ws", 1, 2), " ").alias("text"), spans.alias("spans"), F.lit("f").alias("file_name"), F.array(F.struct(said.alias("annotations"))).alias("annotation_sets"))
+    file = F.concat(F.lit('{"labels": {"h1": {"hypothesis": "claim"}, "h2": {"hypothesis": "other"}}, "documents": '), _array(F.to_json(doc)), F.lit("}"))
+    out = corpora.contractnli(spark, put(items.agg(file), "contractnli"), "dev")
+    return out.select("doc_id", "intent", "hyp_id", "nli_label", F.array_join("input_units", "|").alias("units"), _flags("input_unit_labels").alias("labels"), "output_text")
+
+
+@query("load_subsume", f"""WITH {_WORDS}, s AS (SELECT (item_id % 5)::VARCHAR AS state, item_id, ws[1] AS sentence FROM w), g AS (SELECT state, string_agg(sentence, ' ' ORDER BY item_id) AS input, string_agg((item_id % 2 = 0)::INT::VARCHAR, '' ORDER BY item_id) AS labels FROM s GROUP BY state)
+    SELECT 'state ' || state AS intent, input, labels, 'chosen' AS output_text FROM g""")
+def _(spark, d):
+    items, put = _raw(spark, d)
+    state = F.concat(F.lit("s"), (F.col("item_id") % 5).cast("string"))
+    sentences = items.select(state.alias("name"), F.col("item_id").alias("sid"), F.col("ws")[0].alias("sentence"))
+    head = spark.range(1).select(F.lit("name,sid,sentence").alias("value"))
+    rows = sentences.select(F.concat_ws(",", "name", F.col("sid").cast("string"), F.concat(F.lit('"'), F.replace("sentence", F.lit('"'), F.lit('\\"')), F.lit('"'))).alias("value"))
+    states = corpora.subsume_states(spark, put(head.unionByName(rows).coalesce(1), "states"))
+    ids = F.array_sort(F.collect_list(F.when(F.col("sid") % 2 == 0, F.col("sid"))))
+    packed = sentences.groupBy("name").agg(ids.alias("ids"))
+    summary = F.struct(F.col("name").alias("state_name"), F.lit(1).alias("state_id"), F.col("ids").alias("sentence_ids"), F.array(F.lit("chosen")).alias("sentences"), F.expr("cast(array() as array<string>)").alias("used_keywords"))
+    entry = F.struct(F.concat(F.lit("state "), F.substring("name", 2, 9)).alias("intent"), F.lit("h").alias("HITId"), F.array(summary).alias("summaries"))
+    # A file holds the summaries of one intent.
+    users = [corpora.subsume_summaries(spark, put(packed.where(F.col("name") == f"s{k}").select(F.to_json(entry)).coalesce(1), f"user{k}")) for k in range(5)]
+    users = reduce(DataFrame.unionByName, users)
+    return corpora.subsume(users, states).select("intent", "input", _flags("input_unit_labels").alias("labels"), "output_text")
+
+
+@query("load_puma", f"WITH {_WORDS} SELECT 'CAUSE' AS intent, ws[1] || ' one.|' || ws[2] || ' two.' AS units, '01' AS labels, ws[2] || ' two.' AS output_text FROM w")
+def _(spark, d):
+    items, put = _raw(spark, d)
+    one, two = F.concat(F.col("ws")[0], F.lit(" one.")), F.concat(F.col("ws")[1], F.lit(" two."))
+    raw = F.concat(F.lit("uri: x\nanswer_0: "), one, F.lit("\nanswer_1: "), two, F.lit("\n"))
+    start = F.instr(raw, "\nanswer_1: ") + 10
+    mark = F.struct(F.array(start, start + 3).alias("label_spans"))
+    entry = F.struct(F.lit("q").alias("question"), F.lit("").alias("context"), raw.alias("raw_text"), F.create_map(F.lit("CAUSE"), F.array(mark)).alias("labelled_answer_spans"), F.expr("map('CAUSE', 's')").alias("labelled_summaries"))
+    out = corpora.puma(spark, put(items.agg(_array(F.to_json(entry))), "puma"))
+    return out.select("intent", F.array_join("input_units", "|").alias("units"), _flags("input_unit_labels").alias("labels"), "output_text")
+
+
+@query("load_evidence_inference", f"WITH {_WORDS} SELECT 'User1' AS intent, ws[1] || '. ' || ws[2] || ' end.' AS input, item_id AS prompt, 'train' AS split FROM w")
+def _(spark, d):
+    items, put = _raw(spark, d)
+    body = F.concat(F.col("ws")[0], F.lit(". "), F.col("ws")[1], F.lit(" end."))
+    head = lambda line: spark.range(1).select(F.lit(line).alias("value"))
+    marks = items.select(F.format_string("%s,1,%s,0,3", F.col("item_id").cast("string"), F.col("item_id").cast("string")).alias("value"))
+    asked = items.select(F.format_string("%s,%s,o,i,c", F.col("item_id").cast("string"), F.col("item_id").cast("string")).alias("value"))
+    annotations = corpora.evidence_annotations(spark, put(head("PMCID,UserID,PromptID,Evidence Start,Evidence End").unionByName(marks).coalesce(1), "marks"))
+    prompts_ = corpora.evidence_prompts(spark, put(head("PromptID,PMCID,Outcome,Intervention,Comparator").unionByName(asked).coalesce(1), "prompts"))
+    parts = corpora.evidence_splits(spark, {"train": put(items.select(F.col("item_id").cast("string")), "train")})
+    both = corpora.evidence_inference_raw(annotations, prompts_, parts)
+    articles = items.select(F.col("item_id").alias("PMCID"), body.alias("text"))
+    rows = corpora.evidence_inference(both, articles).select("intent", "input")
+    known = both.join(articles, "PMCID").select(F.col("text").alias("input"), F.col("PromptID").alias("prompt"), "split")
+    return rows.join(known.dropDuplicates(["prompt"]), "input").select("intent", "input", "prompt", "split")
+
+
+@query("load_physionet", f"WITH {_WORDS} SELECT '1||||' || item_id AS id, 'NAME' AS kind, 1 AS n_positive FROM w")
+def _(spark, d):
+    items, put = _raw(spark, d)
+    number = F.col("item_id").cast("string")
+    # Offsets are counted from the line break after the record's head.
+    records = items.select(F.concat(F.lit("START_OF_RECORD=1||||"), number, F.lit("||||\nSeen by Ann today ; no pain at all ; fever .||||END_OF_RECORD")).alias("value"))
+    marks = spark.range(1).select(F.lit("record_id,begin,length,type").alias("value")).unionByName(items.select(F.concat(F.lit("1||||"), number, F.lit(",8,3,NAME")).alias("value")))
+    notes = put(spark.range(1).select(F.lit(str({"id": "1||||none_sent_0", "correction": "[]"}))), "notes")
+    sents = corpora.apply_corrections(corpora.physionet_sentences(corpora.physionet_records(spark, put(records.coalesce(1), "records")), corpora.physionet_annotations(spark, put(marks.coalesce(1), "marks"))), corpora.physionet_corrections(spark, notes))
+    docs = corpora.claims_to_documents(corpora.sentences_to_claims(sents))
+    kinds = sents.select(F.regexp_replace("record_id", "_sent_.*", "").alias("id"), F.explode("ner_tags").alias("tag")).where("tag LIKE 'B-%'").select("id", F.substring("tag", 3, 9).alias("kind")).distinct()
+    return docs.select("id", F.size(F.filter("claim_labels", lambda y: y == 1)).alias("n_positive")).join(kinds, "id").select("id", "kind", "n_positive")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import sys
+import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -40,3 +43,21 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``limit`` rows; reads no more than one row beyond."""
     return df.limit(limit + 1).count() <= limit
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local one only where it is unset and the session runs in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gleanworks-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and kept when executors are lost."""
+    path = f"{shared_folder(df.sparkSession)}/gleanworks-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

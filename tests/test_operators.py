@@ -161,10 +161,23 @@ def test_statistics(spark):
 
 
 def test_error_rules(spark):
-    df = spark.createDataFrame([(1, "HTTP 429: timeout"), (2, None), (3, "bad JSON")], "sample_id long, message string")
-    got = {r.sample_id: (r.category, r.severity) for r in errors.categorize(df).collect()}
-    assert got == {1: ("rate_limit", "medium"), 2: ("unknown", "high"), 3: ("parse_error", "low")}
-    assert "Errors: 3 of 6" in errors.report(errors.categorize(df), 6)
+    said = {
+        "HTTP 429: timeout": ("rate_limit", "rate_limit_exceeded", "low"),
+        "request timed out": ("timeout", "request_timeout", "low"),
+        "Connection refused": ("content_filter", "content_filtered", "medium"),
+        "HTTP 503": ("network_error", "network_error", "low"),
+        "bad JSON": ("parsing_error", "json_parse_error", "medium"),
+        "score out of range": ("validation_error", "invalid_score_format", "medium"),
+        "Internal error": ("api_error", "api_internal_error", "low"),
+        "Unauthorized": ("authentication", "auth_failed", "critical"),
+        None: ("unknown", "unknown_error", "high"),
+    }
+    df = spark.createDataFrame(list(enumerate(said)), "sample_id long, message string")
+    got = {r.message: (r.category, r.error_type, r.severity) for r in errors.categorize(df).collect()}
+    assert got == said
+    assert "Errors: 9 of 18" in errors.report(errors.categorize(df), 18)
+    rates = {(r.error_rate, r.success_rate) for r in errors.analyze(errors.categorize(df), total=18).collect()}
+    assert rates == {(0.5, 0.5)}
 
 
 def test_error_patterns_have_all_members(spark):
@@ -172,8 +185,20 @@ def test_error_patterns_have_all_members(spark):
     members = errors.pattern_members(errors.categorize(spark.createDataFrame(rows, "sample_id long, message string"))).collect()
     got = {}
     for r in members:
-        got.setdefault((r.category, r.action), []).append(r.sample_id)
-    assert {k: sorted(v) for k, v in got.items()} == {("rate_limit", errors.ACTIONS["rate_limit"]): list(range(150)), ("unknown", errors.ACTIONS["unknown"]): [151, 152]}
+        got.setdefault((r.error_type, r.action), []).append(r.sample_id)
+    assert {k: sorted(v) for k, v in got.items()} == {("rate_limit_exceeded", errors.ACTIONS["rate_limit"]): list(range(150)), ("unknown_error", errors.ACTIONS["unknown"]): [151, 152]}
+
+
+def test_errors_of_stored_runs(spark, tmp_path):
+    schema = "run_id long, dataset_id long, status string, n_samples_scored int, n_samples_failed int, error_summary struct<samples:array<struct<index:int,message:string,retries:int>>>"
+    rows = [(1, 7, "completed", 8, 2, ([(0, "HTTP 429", 1), (3, None, None)],)), (2, 7, "failed", None, 5, ([(1, "HTTP 429", 0)],)), (3, 7, "running", 9, 0, None), (4, 8, "completed", 1, 0, None)]
+    runs = spark.createDataFrame(rows, schema)
+    one = {(r.dimension, r.value): (r.n, r.error_rate) for r in errors.of_run(runs, 1).collect()}
+    assert one["category", "rate_limit"] == (1, 0.2) and one["error_type", "unknown_error"] == (1, 0.2)
+    every = {(r.dimension, r.value): (r.n, r.error_rate) for r in errors.of_dataset(runs, 7).collect()}
+    assert every["severity", "low"] == (2, 0.2) and errors.of_run(runs, 99).count() == 0 and errors.of_run(runs, 4).count() == 0
+    errors.export(errors.categorize(errors.from_runs(runs)), str(tmp_path / "errors"))
+    assert spark.read.csv(str(tmp_path / "errors"), header=True).count() == 3
 
 
 def test_run_queries_on_tags_and_options(spark):
@@ -196,11 +221,32 @@ def test_text_goldens():
     assert text.windowed(["a", "b"], [0, 0]) is None
     units, labels = text.windowed([str(i) for i in range(40)], [int(i == 20) for i in range(40)], seed=1)
     assert sum(labels) == 1 and labels.count(0) >= 3 and units == sorted(units, key=int)
-    assert len(text.split_long(" ".join(["w"] * 400))) > 1
+    assert text.split_long(" ".join(["w"] * 400)) == [" ".join(["w"] * 400)]
+    listed = ", ".join(["w"] * 400)
+    assert "".join(text.split_long(listed, 150)).replace(" ", "") == listed.replace(" ", "") and all(text.n_tokens(p) <= 150 for p in text.split_long(listed, 150))
+    assert text.split_long("a b; c d; e", 3, 0.6) == ["a b", "; c d", "; e"]
+    assert [s[1:] for s in text.note_spans("One; two. Three.", 2)] == [(0, 3), (3, 9), (10, 16)]
+
+
+def test_claims_follow_the_rules():
+    """Delimiters close a claim, headers open one, long ranges are cut after conjunctions and commas."""
+    cut = lambda words, **k: [" ".join(words.split()[a:z]) for a, z, _ in text.claims(words.split(), ["X"] * len(words.split()), **k)]
+    assert cut("Pt well ; PMH: asthma HPI: cough | none") == ["Pt well ;", "PMH: asthma", "HPI: cough |", "none"]
+    assert cut("time 10 : 30 and dose : two") == ["time 10 : 30 and dose :", "two"]
+    assert cut("a b , then c d e", most=4) == ["a b ,", "then c d e"]
+    assert cut("a b and c d e f", most=4) == ["a b and", "c d e f"]
+    assert cut("a , b c d e", most=4) == ["a ,", "b c d e"]
+    assert cut("a b c d e f g", most=3) == ["a b c d", "e f g"]
+    assert text.claims("a ; b c d".split(), ["O"] * 5) == [(0, 5, 0)]
+    assert text.parse_correction("[[('a', 'B-X')], 3, []]") == [[("a", "B-X")]] and text.parse_correction("os.x") == [] and text.parse_correction(None) == []
+    assert text.correct_tags(["a", "b", "a"], ["O"] * 3, [[("a", "B-X"), ("b", "I-X")]]) == ["B-X", "I-X", "O"]
 
 
 def test_retry_and_prompts(spark):
     r = spark.range(1).select(parsing.retry_delay(F.lit("Please retry in 12.5s")), parsing.is_rate_limit(F.lit("HTTP 429")), prompts.missing_prompt(F.array(F.lit("x"), F.lit("y")), F.array(F.lit("1")))).first()
+    waits = [spark.range(1).select(parsing.retry_delay(F.lit(m)), parsing.is_rate_limit(F.lit(m), F.lit("ResourceExhausted"))).first() for m in ("retry_delay { seconds: 30 }", "wait 5 seconds", "no")]
+    assert [w[0] for w in waits] == [30, 5, None] and all(w[1] for w in waits)
+    assert spark.range(1).select(parsing.is_rate_limit(F.lit("limit exceeded"))).first()[0] and not spark.range(1).select(parsing.is_rate_limit(F.lit(None).cast("string"))).first()[0]
     assert r[0] == 12.5 and r[1] and "1. y" in r[2] and "0. x" not in r[2]
     assert parsing.pause_seconds(None, 3) == 240 and parsing.pause_seconds(7, 1) == 12
     with pytest.raises(ValueError):
