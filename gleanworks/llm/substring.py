@@ -54,11 +54,11 @@ BATCHES = 5
 SALTS = 8
 #: Per kind of run: columns, those that buckets are dealt by, and the order inside a bucket.
 KINDS = {
-    "prints": ("h long, s int, t long", ("h", "s"), ("h", "s", "t")),
+    "prints": ("h long, s int, t long, t2 long", ("h", "s"), ("h", "s", "t", "t2")),
     "heads": ("h long", ("h",), ("h",)),
     "shared": ("h long", ("h",), ("h",)),
-    "texts": ("t long, t2 long, owner long, text string", ("t",), ("t", "t2")),
-    "windows": ("k1 long, k2 int, lo long", ("k1", "k2"), ("k1", "k2")),
+    "texts": ("t long, t2 long, owner long, text string", ("t", "t2"), ("t", "t2")),
+    "windows": ("k1 long, k2 int, lo long, hi long", ("k1", "k2"), ("k1", "k2")),
 }
 
 
@@ -76,7 +76,7 @@ def _starts(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``(h, t)``: the fingerprints of each text's windows, runs of equal ones once."""
+    """``(h, t, t2)``: the fingerprints of each text's windows, runs of equal ones once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,10 +87,10 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
                 if len(at):
                     low = sliding_min(hash_runs(hash_words(buf, starts, stops), gram), window - gram + 1)[at]
                     keep = np.append(True, (low[1:] != low[:-1]) | (row[1:] != row[:-1]))
-                    t = piece.column(1).to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array(low[keep].view(np.int64)), pa.array(t[row[keep]])], names=["h", "t"])
+                    t, t2 = (piece.column(i).to_numpy()[row[keep]] for i in (1, 2))
+                    yield pa.RecordBatch.from_arrays([pa.array(low[keep].view(np.int64)), pa.array(t), pa.array(t2)], names=["h", "t", "t2"])
 
-    return docs.select("text", "t").where("text IS NOT NULL").mapInArrow(run, "h long, t long")
+    return docs.select("text", "t", "t2").where("text IS NOT NULL").mapInArrow(run, "h long, t long, t2 long")
 
 
 class SubstringIndex:
@@ -113,13 +113,14 @@ class SubstringIndex:
         line = self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1)
         line.write.text(f"{self.path}/manifest/{self.state['version']:06d}-{uuid.uuid4().hex}")
 
-    def _write(self, kind: str, rows: DataFrame) -> str:
-        """A new run: a sorted file per bucket."""
+    def _write(self, kind: str, rows: DataFrame, dealt: bool = False) -> str:
+        """A new run: a sorted file per bucket.  ``dealt`` rows come from a grouping by the buckets' columns, which are together already."""
         columns, by, order = KINDS[kind]
         self.state["made"] += 1
         run = f"{kind}-{self.state['made']:06d}-{uuid.uuid4().hex[:8]}"
         name = f"gleanworks_{uuid.uuid4().hex}"
-        rows = rows.select(*[c.split()[0] for c in columns.split(", ")]).repartition(self.state["buckets"], *by)
+        rows = rows.select(*[c.split()[0] for c in columns.split(", ")])
+        rows = rows if dealt else rows.repartition(self.state["buckets"], *by)
         rows.write.format("parquet").option("compression", "zstd").bucketBy(self.state["buckets"], *by).sortBy(*order).option("path", f"{self.path}/{run}").saveAsTable(name)
         self.names[run] = name
         return run
@@ -144,12 +145,12 @@ class SubstringIndex:
         if len(full) >= self.state["fanout"]:
             every = reduce(DataFrame.unionByName, [self._read(r) for r in full])
             if kind == "windows":
-                every = every.groupBy("k1", "k2").agg(F.min("lo").alias("lo"))
-            elif kind != "texts":
-                every = every.distinct()
+                every = every.groupBy("k1", "k2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            elif kind in ("heads", "shared"):
+                every = every.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
             self.merged += full
             self.state["runs"][kind] = [x for x in held if x[1] not in full]
-            self._add(kind, self._write(kind, every), level + 1)
+            self._add(kind, self._write(kind, every, kind not in ("texts", "prints")), level + 1)
 
     def _sweep(self) -> None:
         """Delete runs that the manifest no longer names; answers given before do not read them."""
@@ -180,14 +181,14 @@ class SubstringIndex:
             owners = owners.join(old.select("t", "t2", F.col("owner").alias(f"o{i}")), ["t", "t2"], "left")
         past = F.coalesce(*[F.col(f"o{i}") for i in range(len(self.runs("texts")))], F.lit(None).cast("long"))
         owners = materialise(owners.select("t", "t2", "owner", past.alias("past")), "owners")
-        copies = rows.select("doc_id", "t", "t2").join(owners.withColumn("first", F.least("owner", "past")), ["t", "t2"]).where("doc_id > first").select("doc_id", "t").distinct()
-        fresh = rows.join(owners.where("past IS NULL").select("t", "t2", F.col("owner").alias("doc_id")), ["t", "t2", "doc_id"]).withColumnRenamed("doc_id", "owner")
-        texts = self._write("texts", fresh.dropDuplicates(["t", "t2"]))
+        copies = rows.select("doc_id", "t", "t2").join(owners.select("t", "t2", F.least("owner", "past").alias("first")), ["t", "t2"]).where("doc_id > first").select("doc_id", "t").distinct()
+        fresh = rows.join(owners.where("past IS NULL"), ["t", "t2"]).where("doc_id = owner").dropDuplicates(["t", "t2"])
+        texts = self._write("texts", fresh)
         prints = self._write("prints", fingerprints(self._read(texts), window, gram).withColumn("s", F.pmod("t", F.lit(SALTS)).cast("int")))
         new = self._read(prints)
         # Fingerprints of the batch that two texts share, and those of them that history holds or has opened.
         ends = new.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-        heads = self._write("heads", ends)
+        heads = self._write("heads", ends, dealt=True)
         both, flags = ends, {}
         for kind in ("heads", "shared"):
             flags[kind] = [F.lit(False)]
@@ -206,11 +207,11 @@ class SubstringIndex:
             hits = materialise(reduce(DataFrame.unionByName, hits), "hits")
             past_windows = [_windows(old, hits, window, gram).select("k1", "k2", "owner") for old in self.runs("texts")]
         every = reduce(DataFrame.unionByName, [found.select("k1", "k2", "owner"), *past_windows])
-        windows = self._write("windows", every.groupBy("k1", "k2").agg(F.min("owner").alias("lo")))
-        # The first document of every window of the batch, over all runs.
-        first = found.groupBy("k1", "k2").agg(F.max("owner").alias("hi")).join(self._read(windows), ["k1", "k2"])
+        windows = self._write("windows", every.groupBy("k1", "k2").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")), dealt=True)
+        # The first document of every window of the batch, over all runs, where another one holds it.
+        first = self._read(windows)
         for i, old in enumerate(self.runs("windows")):
-            first = first.join(old.withColumnRenamed("lo", f"lo{i}"), ["k1", "k2"], "left")
+            first = first.join(old.select("k1", "k2", F.col("lo").alias(f"lo{i}")), ["k1", "k2"], "left")
         least = F.least("lo", F.lit(2**63 - 1), *[F.col(f"lo{i}") for i in range(len(self.runs("windows")))])
         first = materialise(first.select("k1", "k2", "hi", least.alias("lo")).where("lo < hi").drop("hi"), "first")
         later = found.join(first, ["k1", "k2"]).where("owner > lo").groupBy("owner", "t").agg(F.collect_set("pos").alias("starts"))
@@ -227,8 +228,8 @@ class SubstringIndex:
 
 
 def _windows(texts: DataFrame, hits: DataFrame, window: int, gram: int) -> DataFrame:
-    """``(k1, k2, owner, t, pos)`` of the windows of ``texts`` whose fingerprints are among the text's in ``hits(h, t)``."""
-    wanted = hits.groupBy("t").agg(F.collect_set("h").alias("hs"))
+    """``(k1, k2, owner, t, pos)`` of the windows of ``texts`` whose fingerprints are among the text's in ``hits(h, t, t2)``."""
+    wanted = hits.groupBy("t", "t2").agg(F.collect_set("h").alias("hs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +252,7 @@ def _windows(texts: DataFrame, hits: DataFrame, window: int, gram: int) -> DataF
                 ids, t = piece.column(0).to_numpy(), piece.column(1).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(ids[row]), pa.array(t[row]), pa.array((at - first[row]).astype(np.int32))], names=["k1", "k2", "owner", "t", "pos"])
 
-    return texts.join(wanted, "t").select("owner", "t", "text", "hs").mapInArrow(run, "k1 long, k2 int, owner long, t long, pos int")
+    return texts.join(wanted, ["t", "t2"]).select("owner", "t", "text", "hs").mapInArrow(run, "k1 long, k2 int, owner long, t long, pos int")
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
