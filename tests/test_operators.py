@@ -225,7 +225,7 @@ def test_text_goldens():
     listed = ", ".join(["w"] * 400)
     assert "".join(text.split_long(listed, 150)).replace(" ", "") == listed.replace(" ", "") and all(text.n_tokens(p) <= 150 for p in text.split_long(listed, 150))
     assert text.split_long("a b; c d; e", 3, 0.6) == ["a b", "; c d", "; e"]
-    assert [s[1:] for s in text.note_spans("One; two. Three.", 2)] == [(0, 3), (3, 9), (10, 16)]
+    assert [s[1:] for s in text.note_spans("One up; two. Three.", 2)] == [(0, 6), (6, 12), (13, 19)]
 
 
 def test_claims_follow_the_rules():
