@@ -48,16 +48,15 @@ PATTERNS = {
 BASE = ("email", "ip", "card", "phone")
 #: Order of all kinds that are reported.
 KINDS = (*BASE, "number", "secret", "iban", "national", "name", "address")
-_MAY_HOLD = {"email": "@", "phone": "+"}
-_MAY_MATCH = {
-    "ip": r"[0-9]\.[0-9]",
-    "card": r"[0-9][\x20-]?[0-9]",
-    "secret": r"[=:]\x20?[\x22']",
-    "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}",
-    "national": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "name": r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra)\.?\x20\p{Lu}",
-    "address": r"(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd)\b|(?:straße|strasse|weg|platz|gasse|allee)\x20[0-9]|(?:rue|avenue|boulevard|calle|avenida|plaza)\x20",
+#: What a text must hold for a pattern to be run on it: any of some strings, a plain pattern, or a digit besides.
+_MAY_HOLD = {
+    "email": ("@",),
+    "phone": ("+",),
+    "name": ("Mr ", "Mr.", "Mrs", "Ms ", "Ms.", "Dr ", "Dr.", "Prof", "Herr ", "Frau ", "Monsieur", "Madame", "Mme", "Señor", "Sra"),
+    "address": (" Street", " St", " Avenue", " Ave", " Road", " Rd", " Lane", " Ln", " Boulevard", " Blvd", "straße ", "strasse ", "weg ", "platz ", "gasse ", "allee ", "rue ", "avenue ", "boulevard ", "calle ", "avenida ", "plaza "),
 }
+_MAY_MATCH = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "secret": r"[=:]\x20?[\x22']", "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", "national": r"[0-9]-[0-9]{2}-[0-9]"}
+_WITH_DIGIT = ("phone", "ip", "card", "iban", "national", "address")
 
 # Gazetteers and cue words of the labelers.
 MAIL_DOMAINS = ("example.com", "example.org", "example.net", "gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "live.com", "yahoo.com", "icloud.com", "proton.me", "protonmail.com", "gmx.de", "gmx.net", "web.de", "t-online.de", "orange.fr", "free.fr", "wanadoo.fr", "laposte.net", "telefonica.net", "terra.es", "aol.com", "mail.com")
@@ -191,12 +190,22 @@ def candidates(docs: DataFrame) -> DataFrame:
     Matches and gaps are columns of their own, so each pattern runs once a text.
     """
     text = F.col("text")
-    one = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
-    may = {k: text.contains(_MAY_HOLD[k]) if k in _MAY_HOLD else text.rlike(_MAY_MATCH[k]) for k in PATTERNS}
+    one = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).withColumn("_digit", text.rlike("[0-9]"))
+
+    def may(kind: str) -> Column:
+        if kind in _MAY_HOLD:
+            held = F.lit(False)
+            for mark in _MAY_HOLD[kind]:
+                held = held | text.contains(mark)
+        else:
+            held = text.rlike(_MAY_MATCH[kind])
+        return F.col("_digit") & held if kind in _WITH_DIGIT else held
+
+    one = one.select("doc_id", "text", *[may(k).alias(f"may_{k}") for k in PATTERNS])
     two = one.select(
         "doc_id",
-        *[F.when(may[k], F.regexp_extract_all(text, F.lit(p), F.lit(0))).alias(f"found_{k}") for k, p in PATTERNS.items()],
-        *[F.when(may[k], F.split(text, p, -1)).alias(f"gaps_{k}") for k, p in PATTERNS.items()],
+        *[F.when(F.col(f"may_{k}"), F.regexp_extract_all(text, F.lit(p), F.lit(0))).alias(f"found_{k}") for k, p in PATTERNS.items()],
+        *[F.when(F.col(f"may_{k}"), F.split(text, p, -1)).alias(f"gaps_{k}") for k, p in PATTERNS.items()],
     )
     return two.select("doc_id", F.concat(*[_walk(k) for k in PATTERNS]).alias("spans"))
 
