@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Turns of one rendered segment.
 SEGMENT = 64
 #: Turn numbers of one range of the first level.
@@ -42,7 +44,8 @@ def escaped(text: Column) -> Column:
 def places(turns: DataFrame) -> DataFrame:
     """``(conv_id, turn, role, text, key, n, at)``: distinct rows, how often they occur, and the place of the first."""
     said = turns.where("conv_id IS NOT NULL").select("conv_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = said.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
+    # Written out: the sums of all three levels and the participants are read off it.
+    rows = materialise(said.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n")), "turns")
     rows = rows.withColumn("key", F.md5("text")).withColumn("range", F.floor(F.col("turn") / RANGE).cast("long")).withColumn("hash", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("conv_id", "range", "turn", "hash").agg(F.sum("n").alias("n"))
@@ -61,7 +64,7 @@ def rotate(turns: DataFrame, segment: int = SEGMENT, end: str = END) -> DataFram
     ``mask`` is ``array<struct<start, end>>`` in code points of ``rendered``.  Nulls,
     repeats, ties and empty tables: see the module's defined results.
     """
-    rows = places(turns)
+    rows = materialise(places(turns), "places")
     people = rows.where("role <> 'system'").select("conv_id", F.col("role").alias("perspective")).distinct()
     cut = rows.withColumn("segment", F.explode(F.sequence(F.expr(f"at div {segment}"), F.expr(f"(at + n - 1) div {segment}"))))
     first, last = F.greatest(F.col("at"), F.col("segment") * segment), F.least(F.col("at") + F.col("n"), (F.col("segment") + 1) * segment)
