@@ -21,6 +21,7 @@ ARROW_ROWS = 512
 _MADE: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+_BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,9 +76,10 @@ def tidy(spark: SparkSession, ordered: bool = False) -> Iterator[None]:
     """Session settings for the jobs inside, put back afterwards.
 
     Shuffle files go as soon as a job is done: what is written out is not computed again.
-    With ``ordered``, the order of bucketed files counts, so that merge joins do not sort.
+    With ``ordered``, joins are merge joins at every size, and the order of bucketed files
+    counts, so that they do not sort.
     """
-    wanted = {_CLEANUP: "true"} | ({_ORDER: "true"} if ordered else {})
+    wanted = {_CLEANUP: "true"} | ({_ORDER: "true", _BROADCAST: "-1"} if ordered else {})
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
