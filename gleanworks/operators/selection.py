@@ -30,8 +30,8 @@ def norm(a: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """The vector at unit length; a zero vector stays zero."""
-    n = F.greatest(norm(a), F.lit(1e-12))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    n = F.greatest(norm(a), F.lit(1e-12))  # bound as a variable, since inside the inner function it is computed for every component
+    return F.transform(F.array(n), lambda m: F.transform(a, lambda x: x.cast("double") / m))[0]
 
 
 def mean_vector(df: DataFrame, vec: str, by: list[str]) -> DataFrame:
@@ -50,15 +50,20 @@ def select_most_positive(pool: DataFrame, k: int, group: str | None = None, seed
     return top_k_by_group(pool.withColumn("value", positives), group, [F.col("value").desc(), *(ties or [hash_order("id", seed)]), F.col("id")], k)
 
 
-def select_representative(pool: DataFrame, k: int, group: str | None = None) -> DataFrame:
-    """Nearest to the centroid of the normalised embeddings, by Euclidean distance."""
+def select_representative(pool: DataFrame, k: int, group: str | None = None, digits: int | None = None) -> DataFrame:
+    """Nearest to the centroid of the normalised embeddings, by Euclidean distance; ties by id.
+
+    Distances are compared as rounded to ``digits`` (none: as they are).  Rows without a
+    vector are left out; a shorter vector is compared in the components that it has.
+    """
     by = [group] if group else []
-    unit = pool.withColumn("_u", normalised(F.col("embedding")))
+    unit = pool.where(F.size("embedding") > 0).withColumn("_u", normalised(F.col("embedding")))
     keyed = unit if by else unit.withColumn("_all", F.lit(1))
     centre = mean_vector(keyed, "_u", by or ["_all"])  # one row per group
     both = keyed.join(F.broadcast(centre), by or ["_all"])
-    gap = F.sqrt(F.aggregate(F.zip_with("_u", "mean", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return top_k_by_group(both.withColumn("value", gap).drop("_u", "_all", "mean"), group, [F.col("value"), F.col("id")], k)
+    gap = F.sqrt(F.aggregate(F.zip_with("_u", "mean", lambda x, y: F.coalesce((x - y) * (x - y), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x))
+    value = gap if digits is None else F.round(gap, digits)
+    return top_k_by_group(both.withColumn("value", value).drop("_u", "_all", "mean"), group, [F.col("value"), F.col("id")], k)
 
 
 def class_mean(units: Column, labels: Column, label: int, unit_length: bool) -> Column:

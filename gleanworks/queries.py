@@ -530,7 +530,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, value, row_number() OVER (ORDER BY value, id) AS rank FROM g ORDER BY value, id LIMIT 10""",
 )
 def _(spark, d):
-    return _r(selection.select_representative(_vectors(spark, d), 10)).select("id", "value", "rank")
+    return _r(selection.select_representative(_vectors(spark, d), 10, digits=6)).select("id", "value", "rank")
 
 
 @query("knn_topk", f"WITH {_VEC}, s AS (SELECT q.id AS query_id, p.id, round(list_dot_product(q.v, p.v), 9) AS s FROM u q, u p WHERE q.id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s) SELECT query_id, id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 3")

@@ -1,10 +1,12 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gleanworks import queries
 from gleanworks.functions import parsing, prompts, stats, text
 from gleanworks.operators import conformal, errors, fusion, precision, retrieval, runs, selection, splits, statistics
 
@@ -120,6 +122,27 @@ def test_knn_in_blocks_equals_broadcast(spark, monkeypatch):
             assert sorted(map(tuple, retrieval.knn(pool.where("id < 9"), pool, 4, group).collect())) == want
 
 
+def test_representative_ties_by_rounded_distance(spark):
+    # opposite vectors: the centroid is almost zero and distances differ by less than 1e-6
+    rows = [(1, [1.0, 0.0]), (2, [-1.0, 2e-7]), (3, [0.0, 1.0]), (4, [1e-7, -1.0]), (5, None), (6, [])]
+    pool = spark.createDataFrame(rows, "id long, embedding array<double>")
+    exact, ties = ([(r.id, r.rank) for r in selection.select_representative(pool, 6, digits=d).orderBy("rank").collect()] for d in (None, 6))
+    assert [i for i, _ in exact] != [1, 2, 3, 4] and sorted(i for i, _ in exact) == [1, 2, 3, 4]
+    assert ties == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_representative_query_equals_its_sql_on_close_vectors(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(30, 8))
+    rows = [(i + 30 * c, (v + (2 - c) * 1e-7 * np.sin(np.arange(8) + i)).tolist(), i % 3) for c in range(3) for i, v in enumerate(base)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = duck.execute(queries.ORACLES["rep_centroid_topk"]).fetchall()
+    got = [tuple(r) for r in queries.QUERIES["rep_centroid_topk"](spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == sorted(want, key=lambda r: r[2])
+
+
 def test_strategies_by_name(spark):
     rng = np.random.default_rng(2)
     rows = [(i, "ab"[i % 2], [0, 0, 1, 1], rng.normal(size=3).tolist(), rng.normal(size=(4, 3)).tolist()) for i in range(12)]
