@@ -11,14 +11,17 @@ from ..functions.stats import t_quantile
 def average_precision(units: DataFrame, keys: tuple[str, ...] = ("sample_id", "strategy"), carry: tuple[str, ...] = ("intent",)) -> DataFrame:
     """AP of every ``keys`` group of ``units(label, score)``; null without scores or with one class only.
 
-    Units tied on score form one step.  Grouping by score first shrinks the window's
-    input; both windows share one partitioning and order, so there is one exchange.
+    Units tied on score form one step.  Grouping by score first shrinks the windows'
+    input; all windows share one partitioning and order, so there is one exchange.
+    The steps are summed along the window, highest score first: an aggregate that spills
+    adds partial sums, and the last digit, which can decide a histogram's bin, would change.
     """
     steps = units.groupBy(*keys, "score").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in carry])
     total, ahead = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.col("score").desc())
     cum = steps.select(*keys, *carry, "p", "score", F.sum("p").over(ahead).alias("cp"), F.sum("n").over(ahead).alias("cn"), F.sum("p").over(total).alias("tp"), F.sum("n").over(total).alias("tn"))
-    ap = F.when((F.max("tp") > 0) & (F.max("tp") < F.max("tn")) & (F.count("score") == F.count(F.lit(1))), F.sum(F.col("p").cast("double") * F.col("cp") / F.col("cn")) / F.max("tp"))
-    return cum.groupBy(*keys).agg(*[F.first(c).alias(c) for c in carry], ap.alias("ap"))
+    run = cum.withColumn("run", F.sum(F.col("p").cast("double") * F.col("cp") / F.col("cn")).over(ahead))
+    ap = F.when((F.max("tp") > 0) & (F.max("tp") < F.max("tn")) & (F.count("score") == F.count(F.lit(1))), F.max("run") / F.max("tp"))
+    return run.groupBy(*keys).agg(*[F.first(c).alias(c) for c in carry], ap.alias("ap"))
 
 
 def ap_of_arrays(scores: Column, labels: Column) -> Column:

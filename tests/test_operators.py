@@ -37,6 +37,30 @@ def test_average_precision_both_forms(spark):
     assert none.select(precision.ap_of_arrays(F.col("s"), F.col("y"))).first()[0] is None
 
 
+def test_average_precision_sums_along_the_scores(spark):
+    """Steps are added one by one from the highest score on, also when the aggregate starts anew within a sample."""
+    rng = random.Random(1)
+    rows = [(i, [rng.randrange(10) / 10 for _ in range(n)], [rng.randrange(2) for _ in range(n)]) for i, n in enumerate(rng.randrange(6, 15) for _ in range(300))]
+    units = spark.createDataFrame([(i, "a", "x", y, s) for i, ss, ys in rows for s, y in zip(ss, ys, strict=True)], "sample_id long, strategy string, intent string, label int, score double")
+
+    def one_by_one(scores, labels):
+        out, seen, hit = 0.0, 0, 0
+        for s in sorted(set(scores), reverse=True):
+            tied = [y for x, y in zip(scores, labels, strict=True) if x == s]
+            seen, hit = seen + len(tied), hit + sum(tied)
+            out += float(sum(tied)) * hit / seen
+        return out / sum(labels) if 0 < sum(labels) < len(labels) else None
+
+    want = {i: one_by_one(s, y) for i, s, y in rows}
+    aps = lambda: {r.sample_id: r.ap for r in precision.average_precision(units).select("sample_id", "ap").collect()}
+    assert aps() == want
+    spark.conf.set("spark.sql.TungstenAggregate.testFallbackStartsAt", "2, 3")
+    try:
+        assert aps() == want
+    finally:
+        spark.conf.unset("spark.sql.TungstenAggregate.testFallbackStartsAt")
+
+
 def test_fusion_rules(spark):
     df = spark.createDataFrame([([0.2, 0.4], None, [0.8, 1.0]), (None, None, None), ([1.0], [1.0, 2.0], None)], "a array<double>, b array<double>, c array<double>")
     fuse = fusion.fuse_arrays([F.col("a"), F.col("b"), F.col("c")], [1, 1, 2])
