@@ -127,25 +127,37 @@ def min_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Alternates the large-star and small-star steps, so the number of rounds grows
     with the logarithm of the vertex count, and each vertex's neighbours are only
-    aggregated, never gathered.  Self loops keep isolated vertices.  Returns
+    aggregated, never gathered.  The minima that a round starts with also tell whether
+    all components are stars around their smallest vertex; then they are the result.
+    What a round writes out is read back in a few tasks if it is small, so that the
+    driver keeps track of few tasks.  Self loops keep isolated vertices.  Returns
     ``(vertex, component)``; an empty input gives an empty result.
     """
-    e = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    vertices = e.select(F.col("a").alias("vertex")).union(e.select("b")).distinct()
-    e = e.where("a <> b")
-    for _ in range(max_rounds):
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def turned(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+        return rows.select(F.inline(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs])))
+
+    known = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    e, alone = materialise(known.distinct(), "edges"), None
+    for k in range(max_rounds + 1):
+        least, other = F.min("b"), F.max(F.when(F.col("b") != F.col("a"), F.col("b")))
+        low = turned(e, ("a", "b"), ("b", "a")).groupBy("a").agg(F.least(least, F.col("a")).alias("m"), ((least < F.col("a")) & (other > least)).alias("open"), other.isNull().alias("alone"))
         # Written out, so that the join can split a vertex with very many edges.
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).checkpoint()
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a")
-        nxt = small.select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", "m")).distinct().checkpoint()
-        step = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.hash("a", "b").cast("long")), F.lit(0)).alias("s")]
-        before, after = e.agg(*step).first(), nxt.agg(*step).first()
-        e = nxt
-        if tuple(before) == tuple(after):
+        low = materialise(low, "low")
+        is_open, any_alone = low.agg(F.max("open"), F.max("alone")).first()
+        if not is_open:
             break
+        large = e.where("a <> b").join(low.select(F.col("a").alias("b"), "m"), "b").select("a", F.col("m").alias("b"))
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        after = materialise(turned(small, ("a", "m"), ("b", "m")).where("a <> b").distinct(), "edges")
+        if k == 0 and any_alone:  # they have no part in later rounds
+            alone = low.where("alone")
+            discard(e)
+        else:
+            discard(e, low)
+        e = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return vertices.join(e.select(F.col("a").alias("vertex"), F.col("b").alias("m")), "vertex", "left").select("vertex", F.coalesce("m", "vertex").alias("component"))
+    discard(e)
+    found = low if alone is None else low.union(alone)
+    return found.select(F.col("a").alias("vertex"), F.col("m").alias("component"))

@@ -310,7 +310,7 @@ def links(sets: DataFrame, prefix: DataFrame, percent: int = PERCENT, block: int
     """``(a, b)``: a forest over all links between distinct ``sets(doc_id, n, tokens)``."""
     n_parts = parts(sets.sparkSession)
     heads = prefix.groupBy("h").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("hi")).where("b < hi").select("h", "b")
-    groups = min_components(prefix.join(heads, "h").select(F.col("doc_id").alias("a"), "b").distinct()).select(F.col("vertex").alias("doc_id"), F.col("component").alias("g"))
+    groups = min_components(prefix.join(heads, "h").select(F.col("doc_id").alias("a"), "b")).select(F.col("vertex").alias("doc_id"), F.col("component").alias("g"))
     sizes = groups.join(sets.select("doc_id", "n"), "doc_id").groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("held")).where("size > 1")
     sizes = sizes.select("g", "size", (F.ceil(F.greatest(F.col("size") / block, F.col("held") / TOKENS))).cast("int").alias("blocks"))
     grouped = materialise(sets.join(groups, "doc_id").join(sizes, "g"), "groups")

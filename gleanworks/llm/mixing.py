@@ -45,7 +45,7 @@ def _tried(shares: DataFrame, lo: float, hi: float) -> list[tuple[float, float,
     power = F.pow("s", "x")
     sums = points.groupBy("k", "x").agg(F.sum(power).alias("z"), F.sum(power * F.log("s")).alias("l"), F.max(power / F.col("s")).alias("m"))
     entropy = F.log("z") - F.col("x") * F.col("l") / F.col("z")
-    return [tuple(r) for r in sums.select("x", entropy, F.col("m") / F.col("z"), "k").orderBy("k").drop("k").collect()]
+    return [tuple(r)[1:] for r in sorted(sums.select("k", "x", entropy, F.col("m") / F.col("z")).collect())]
 
 
 def solve(shares: DataFrame, entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, budget: float = 1.0) -> float:

@@ -487,6 +487,45 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(31), 0), 50: 50, 60: 60, 61: 60}
 
 
+def jobs_of(spark, name, run):
+    """What ``run`` returns, and the number of jobs that it started."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_match_union_find_in_few_jobs(spark):
+    """The driver keeps track of every job and task: stars need no round, a round six jobs and three to read its minima."""
+    rng = random.Random(4)
+    stars = [(7 * i, 7 * i + k) for i in range(40) for k in range(1, 7)]
+    mixed = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(280)] + [(900, 900), (901, 901)]
+    for name, rows, most in (("stars", stars, 8), ("hub", [(999, i) for i in range(200)], 17), ("mixed", mixed, 52), ("empty", [], 8)):
+        root = {x: x for pair in rows for x in pair}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in rows:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        edges = spark.createDataFrame(rows, "a long, b long")
+        got, jobs = jobs_of(spark, f"components-{name}", lambda edges=edges: common.min_components(edges).collect())
+        assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in root)
+        assert jobs <= most, name
+
+
+def test_mixing_tries_exponents_in_one_aggregation(spark):
+    shares = spark.createDataFrame([(0.5,), (0.3,), (0.2,)], "s double")
+    tried, jobs = jobs_of(spark, "tried", lambda: mixing._tried(shares, 0.0, 1.0))
+    assert [t[0] for t in tried] == [k / mixing.FAN for k in range(mixing.FAN + 1)]
+    assert tried[-1][1:] == pytest.approx((-sum(s * np.log(s) for s in (0.5, 0.3, 0.2)), 1.0))
+    assert jobs <= 2  # an aggregation and its result; no sort after it
+
+
 def test_word_hashing_matches_split():
     from gleanworks.llm import words as w
 
